@@ -56,3 +56,27 @@ def release(df: DataFrame) -> None:
     for f in df.inputFiles()[:1]:
         path = jvm.org.apache.hadoop.fs.Path(f).getParent()
         path.getFileSystem(conf).delete(path, True)
+
+
+def running_sums(lengths: Column) -> Column:
+    """For each element of an array of longs, the sum of those before it.
+
+    Appending to an array copies it, so sums run over chunks of about the square
+    root of the length, which keeps long arrays well under quadratic.
+    """
+
+    def within(part: Column, base: Column) -> Column:
+        start = F.struct(base.cast("long").alias("s"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(part, start, lambda a, x: F.struct((a["s"] + x).alias("s"), F.array_append(a["out"], a["s"]).alias("out")), lambda a: a["out"])
+
+    def chunked(c: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lengths) / c).cast("int") - 1), lambda g: F.slice(lengths, g * c + 1, c))
+
+        def put(p: Column) -> Column:
+            sums = F.transform(p, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y))
+            return let(within(sums, F.lit(0)), lambda bases: F.flatten(F.transform(p, lambda x, i: within(x, F.get(bases, i)))))
+
+        return let(parts, put)
+
+    size = F.greatest(F.lit(64), F.ceil(F.sqrt(F.size(lengths).cast("double")))).cast("int")
+    return F.when(F.size(lengths) == 0, F.array().cast("array<bigint>")).when(F.size(lengths) <= 64, within(lengths, F.lit(0))).otherwise(let(size, chunked))
