@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, html, lines, mixing, pii, quality
+from quillon.llm import chat, html, lines, mixing, pii, quality, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii(_read(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 200 bytes that stand elsewhere too."""
+    return suffixes.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_pii": op8_pii,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
