@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, html, lines, mixing, pii, quality, suffixes
+from quillon.llm import chat, html, jaccard, lines, mixing, pii, quality, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii(_read(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose word 4-grams overlap by 85 % or more."""
+    out = jaccard.jaccard_components(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of strings of 200 bytes that stand elsewhere too."""
     return suffixes.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_pii": op8_pii,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
