@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, html, jaccard, lines, mixing, pii, quality, suffixes
+from quillon.llm import chat, decontam, html, jaccard, licenses, lines, mixing, pii, quality, suffixes
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,16 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat(_read(spark, sf_dir, "conversations"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, edited a little or not."""
+    return decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in documents."""
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that many sources share."""
     out = lines.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
@@ -61,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
     "op3_chat_formatting": op3_chat_formatting,
+    "op4_decontamination": op4_decontamination,
+    "op5_license_scan": op5_license_scan,
     "op6_line_dedup": op6_line_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_pii": op8_pii,
