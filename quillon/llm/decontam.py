@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -246,6 +246,17 @@ def blocks_of_items(benchmark: DataFrame) -> Iterator[tuple[list, list]]:
     yield ids, texts
 
 
+def searcher(index: Broadcast, kind: str) -> Callable[[Column], Column]:
+    """A column function that looks a text up in an index that every task has."""
+
+    @F.pandas_udf(kind)
+    def hits(texts: pd.Series) -> pd.Series:
+        ids = index.value.ids
+        return pd.Series([[{"item_id": ids[i], "distance": d} for i, d in x] for x in find_hits(list(texts), index.value)])
+
+    return hits
+
+
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits") -> DataFrame:
     """Adds the matching items to every row, as an array of item_id and distance, sorted; empty without a match.
 
@@ -260,14 +271,7 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: st
         index = Index(ids, texts)
         if not index.groups:
             continue
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @functools.partial(F.pandas_udf, returnType=kind)
-        def hits(series: pd.Series, shared=shared) -> pd.Series:  # type: ignore[assignment]
-            index = shared.value
-            return pd.Series([[{"item_id": index.ids[i], "distance": d} for i, d in x] for x in find_hits(list(series), index)])
-
-        found.append(hits(F.col(text)))
+        found.append(searcher(docs.sparkSession.sparkContext.broadcast(index), kind)(F.col(text)))
     return docs.withColumn(out, F.concat(*found) if len(found) > 1 else found[0] if found else F.array().cast(kind))
 
 

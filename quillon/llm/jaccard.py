@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bytehash
-from quillon.llm.common import materialize
+from quillon.llm.common import SPACES, materialize
 from quillon.llm.graph import components
 
 SLOT_BITS = 28  # counting slots of a bucket, as a power of two
@@ -309,6 +309,30 @@ def links(sets: DataFrame, total: int, join: Join) -> DataFrame:
     return first.unionByName(second)
 
 
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows with ``__k``, ``__t`` and a 128-bit key of both in ``ra`` and ``rb``."""
+    d = docs.withColumn("__k", F.col(key)).withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    return d.withColumn("ra", F.xxhash64("__k", "__t")).withColumn("rb", F.xxhash64("__t", "__k", F.lit("b")))
+
+
+def joined(d: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """The signature of every row (doc_id, n, ka, kb), and of each class of equal sets its component and first row.
+
+    ``d`` has doc_id, t, ra and rb. Rows come in order of key (null last).
+    """
+    kind = d.schema["doc_id"].dataType.simpleString()
+    rows = materialize(d.mapInPandas(_signatures(join.size), f"doc_id {kind}, ra long, rb long, n long, ka long, kb long"), "set-signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ra", "rb")).alias("first")
+    classes = rows.filter("n > 0").groupBy("ka", "kb").agg(F.first("n").alias("n"), first)
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "set-classes")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    at = classes.select(F.col("first.ra").alias("ra"), F.col("first.rb").alias("rb"), "node")
+    texts = d.join(at.select("ra", "rb"), ["ra", "rb"], "left_semi").groupBy("ra", "rb").agg(F.first("t").alias("t"))
+    sets = materialize(texts.join(at, ["ra", "rb"]).select("node", "t"), "sets")
+    comp = materialize(components(links(sets, total, join)), "components")
+    return rows, classes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def jaccard_components(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and class for every row of ``docs``.
 
@@ -319,18 +343,23 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), key: str = "doc_id"
     are passed over when the smallest key is sought. Equal rows and rows of equal
     keys are rows of their own.
     """
-    d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    d = d.withColumn("ra", F.xxhash64("doc_id", "t")).withColumn("rb", F.xxhash64("t", "doc_id", F.lit("b")))
-    kind = docs.schema[key].dataType.simpleString()
-    rows = materialize(d.mapInPandas(_signatures(join.size), f"doc_id {kind}, ra long, rb long, n long, ka long, kb long"), "set-signatures")
-    classes = rows.filter("n > 0").groupBy("ka", "kb").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min(F.struct("ra", "rb")).alias("r"))
-    classes = materialize(classes.select("ka", "kb", "least", "n", "r.ra", "r.rb").withColumn("node", F.monotonically_increasing_id()), "set-classes")
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    texts = d.join(classes.select("ra", "rb"), ["ra", "rb"], "left_semi").groupBy("ra", "rb").agg(F.first("t").alias("t"))
-    sets = materialize(texts.join(classes.select("ra", "rb", "node"), ["ra", "rb"]).select("node", "t"), "sets")
-    comp = materialize(components(links(sets, total, join)), "components")
-    named = classes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("smallest"))
-    ids = materialize(named.join(least, "component").select("ka", "kb", "smallest", "node"), "class-ids")
-    out = rows.join(ids, ["ka", "kb"], "left")
+    d = keyed(docs, key, text).select(F.col("__k").alias("doc_id"), F.col("__t").alias("t"), "ra", "rb")
+    rows, classes = joined(d, join)
+    least = classes.groupBy("component").agg(F.min("first").alias("f"))
+    ids = classes.join(least, "component").select("ka", "kb", F.col("f.doc_id").alias("smallest"), "node")
+    out = rows.join(materialize(ids, "class-ids"), ["ka", "kb"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("smallest", "doc_id").alias("component_id"), F.col("node").alias("class"))
+
+
+def keep_one(docs: DataFrame, join: Join = Join(5, 8, 10), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without all but one of each group that links join, with their columns as they are.
+
+    The row with the smallest key stays (a null key is the largest), of rows with
+    equal keys and texts any one. Texts without words are no group; all stay.
+    """
+    d = keyed(docs.select(*docs.columns), key, text)
+    _, classes = joined(d.select(F.col("__k").alias("doc_id"), F.col("__t").alias("t"), "ra", "rb"), join)
+    stay = materialize(classes.groupBy("component").agg(F.min("first").alias("f")).select("f.ra", "f.rb"), "keepers")
+    empty = F.length(F.translate("__t", SPACES, "")) == 0
+    one = d.filter(~empty).join(stay, ["ra", "rb"], "left_semi").dropDuplicates(["ra", "rb"])
+    return one.select(*docs.columns).unionByName(d.filter(empty).select(*docs.columns))

@@ -64,7 +64,7 @@ def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     lines = exploded(docs)
     found = boilerplate(lines, min_sites)
     gone = lines.join(found, "key").filter((F.col("__row") != F.col("first.__row")) | (F.col("n") != F.col("first.n")))
-    return gone.groupBy("__row").agg(F.array_sort(F.collect_set("n")).alias("gone"))
+    return gone.groupBy("__row").agg(F.array_sort(F.collect_set("n")).alias("__gone"))
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", key: str = "doc_id") -> DataFrame:
@@ -87,11 +87,11 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text",
         .withColumn("__lines", F.split("__text", "\n", -1))
         .withColumn(
             "clean_text",
-            F.when(F.col("gone").isNull(), F.col("__text")).otherwise(
-                F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+            F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(
+                F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
             ),
         )
         .withColumn("n_lines", F.coalesce(F.when(F.col("__text").isNull(), 0).otherwise(F.size("__lines")), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
-        .drop("__row", "__text", "__site", "__lines", "gone")
+        .withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+        .drop("__row", "__text", "__site", "__lines", "__gone")
     )

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quillon.llm import chat, decontam, html, jaccard, licenses, lines, mixing, pii, quality, suffixes
 
 
@@ -78,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -145,3 +147,6 @@ y AS (SELECT x.*, start, goal // greatest(source_size, 1) AS passes, goal % grea
 SELECT doc_id, size, source_size, target, CAST(passes * size + CASE WHEN start + words <= rest THEN size
   WHEN start < rest THEN least(size, greatest(0, rest - start - before)) ELSE 0 END AS BIGINT) AS taken FROM y""",
 }
+
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
