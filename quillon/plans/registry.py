@@ -55,3 +55,14 @@ sql(
   round(avg(l_quantity), 6) AS avg_qty, round(avg(l_extendedprice), 6) AS avg_price, round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
 FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus""",
 )
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"quillon.plans.{name}")
+
+
+MODULES = ["scans", "joins", "aggregates", "windows"]
