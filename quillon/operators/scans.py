@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,7 +45,7 @@ def json_each(df: DataFrame, column: str) -> DataFrame:
     return df.select("*", F.explode(F.from_json(column, "map<string,string>")).alias("json_key", "json_value"))
 
 
-@F.udtf(returnType="fullkey string, key string, value string, type string, depth int")
+@F.udtf(returnType=StructType([StructField(n, StringType()) for n in ("fullkey", "key", "value", "type")] + [StructField("depth", IntegerType())]))
 class JsonTree:
     """Every node of a JSON text, depth first; malformed text gives no row."""
 
