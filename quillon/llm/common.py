@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,24 +40,43 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
 
     Cuts the lineage where a result is used several times or must not be
     computed anew in another way (loops, sizes that decide a plan). The files
-    outlive executors, so a lost one costs only the tasks it was running.
+    outlive executors, so a lost one costs only the tasks it was running. What
+    steps before it have shuffled is let go first.
     """
     spark = df.sparkSession
+    let_go(spark)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    _paths[id(out)] = (weakref.ref(out), path)
+    return out
 
 
-def release(df: DataFrame) -> None:
-    """Deletes the files behind a table made by :func:`materialize` when nothing needs it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for f in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(conf).delete(path, True)
+_paths: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def let_go(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files behind tables made by :func:`materialize`, when no plan that is still to run reads them."""
+    for df in tables:
+        ref, path = _paths.pop(id(df), (None, ""))
+        if ref is not None and ref() is df:
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Marks a materialized table of narrow rows for broadcast if it has at most ``max_rows``; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def running_sums(lengths: Column) -> Column:

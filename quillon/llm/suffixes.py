@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bytehash
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, release
 
 LENGTH = 200  # bytes of a string that counts as repeated
 GRAM = 50  # bytes of an anchor
@@ -215,6 +215,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     occ = occ.select("ra", "rb", "copies", "x.hash", p.alias("pos"), left.alias("left"), F.substring(F.col("t"), p + 1, F.lit(LENGTH)).alias("right"))
     occ = occ.withColumn("ca", F.xxhash64("left", "right")).withColumn("cb", F.xxhash64("right", "left", F.lit("b")))
     occ = materialize(occ, "suffix-contexts")
+    release(found)
     counts = occ.groupBy("hash", "ca", "cb").agg(F.sum("copies").alias("n"), F.first(F.octet_length("left")).alias("nl"), F.first(F.octet_length("right")).alias("nr"))
     counts = materialize(counts, "suffix-counts")
     whole = counts.filter((F.col("n") > 1) & (F.col("nl") + F.col("nr") >= LENGTH)).select("hash", "ca", "cb", (-F.col("nl")).cast("long").alias("lo"), F.col("nr").cast("long").alias("hi"))
@@ -234,6 +235,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
         spans = spans.unionByName(x)
     spans = spans.groupBy("hash", "ca", "cb").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     placed = occ.select("ra", "rb", "hash", "pos", "ca", "cb").join(spans, ["hash", "ca", "cb"])
+    placed = materialize(placed.select("ra", "rb", "pos", "lo", "hi"), "suffix-ranges")
+    release(occ, counts, open_)
     return placed.select("ra", "rb", (F.col("pos") + F.col("lo")).cast("int").alias("start"), (F.col("pos") + F.col("hi")).cast("int").alias("end"))
 
 
@@ -270,6 +273,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     d = docs.select(F.col(key).alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t"))
     d = d.select("doc_id", *row_key(F.col("doc_id"), F.col("t")), "t")
     ranges = repeated_ranges(d.select("ra", "rb", "t")).groupBy("ra", "rb").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    ranges = materialize(ranges, "suffix-cuts")
     joined = d.join(ranges, ["ra", "rb"], "left").select("doc_id", "t", "ranges")
     kind = docs.schema[key].dataType.simpleString()
     return joined.mapInPandas(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
