@@ -23,11 +23,10 @@ MAX_SAMPLES = 128
 BLOCK_ITEMS = 20_000  # items in an index; more are searched in several rounds
 BITMAP = 1 << 23
 
-#: Bytes of words; anything else parts words. Letters in lower case.
+#: Bytes of words; anything else parts words. Texts come case-folded.
 FOLD = np.full(256, 32, np.uint8)
 for _c in b"abcdefghijklmnopqrstuvwxyz0123456789" + bytes(range(128, 256)):
     FOLD[_c] = _c
-FOLD[65:91] = np.arange(97, 123)
 
 
 def tokens(data: np.ndarray) -> np.ndarray:
@@ -96,7 +95,7 @@ class Index:
 
     def __init__(self, ids: list, texts: list[str | None]):
         self.ids = ids
-        self.words = [tokens(bytehash.as_bytes(t)) for t in texts]
+        self.words = [tokens(bytehash.as_bytes((t or "").casefold())) for t in texts]
         self.counted = [np.unique(w, return_counts=True) for w in self.words]
         self.bigrams = np.zeros(BITMAP, bool)
         by_size: dict[int, list[int]] = defaultdict(list)
@@ -225,7 +224,7 @@ def find_hits(texts: list[str | None], index: Index, chunk: int = 1 << 19) -> li
     gap = np.full(1, 32, np.uint8)
     for row, t in enumerate(texts):
         if t:
-            parts.append(np.concatenate([bytehash.as_bytes(t), gap])), rows.append(row)
+            parts.append(np.concatenate([bytehash.as_bytes(t.casefold()), gap])), rows.append(row)
             held += len(parts[-1])
             if held > chunk:
                 flush()
