@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACES, materialize
+from quillon.llm.common import SPACES, broadcast_if_small, materialize
 
 MIN_SITES = 10  # a line on so many sites is boilerplate
 LG_K = 10  # sketch of 2**LG_K buckets: a standard error of about 3 %
@@ -34,12 +34,13 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
     A first count by key drops lines with fewer than ``min_sites`` occurrences;
     they can't be on so many sites. For the rest, one HyperLogLog sketch a key is
     built on each side of the shuffle and merged. Estimates far from the
-    threshold decide at once; near ones are counted exactly. Both aggregations
+    threshold decide at once; near ones are counted exactly. All aggregations
     combine on the map side, so a line that a third of all rows hold comes as
-    one sketch from each task.
+    one sketch from each task. Keys go to the lines by broadcast if they are few.
     """
     often = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_sites).select("key")
-    seen = lines.join(often, "key", "left_semi")
+    often = materialize(often, "line-keys")
+    seen = lines.join(broadcast_if_small(often), "key", "left_semi")
     sketched = seen.groupBy("key").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"),
         F.min(F.struct(F.col("__row"), F.col("n"))).alias("first"),
@@ -48,7 +49,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
     sure = sketched.filter(F.col("sites") > min_sites * (1 + margin)).select("key", "first")
     near = sketched.filter(F.col("sites") <= min_sites * (1 + margin))
     counted = (
-        seen.join(near.select("key"), "key", "left_semi")
+        lines.join(broadcast_if_small(near.select("key")), "key", "left_semi")
         .select("key", "site")
         .distinct()
         .groupBy("key")
@@ -62,7 +63,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
 def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """For each row key with a boilerplate line, the sorted places of the lines to remove."""
     lines = exploded(docs)
-    found = boilerplate(lines, min_sites)
+    found = broadcast_if_small(materialize(boilerplate(lines, min_sites), "line-boilerplate"))
     gone = lines.join(found, "key").filter((F.col("__row") != F.col("first.__row")) | (F.col("n") != F.col("first.n")))
     return gone.groupBy("__row").agg(F.array_sort(F.collect_set("n")).alias("__gone"))
 
@@ -71,7 +72,7 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text",
     """Adds ``clean_text``, ``n_lines`` and ``n_removed`` to every row.
 
     A line (trimmed) on ``min_sites`` different sites or more stays only in its
-    first place, that of the smallest key and line number, and goes everywhere
+    first place, that of the smallest key (null before all) and line number, and goes everywhere
     else, in the rest of the same text too. Other lines stay as they are. Lines
     without a word are never removed. A null text stays null with no lines; a null
     site counts as one site; rows that share a key, null included, share the
