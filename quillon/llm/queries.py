@@ -146,6 +146,32 @@ y AS (SELECT x.*, start, goal // greatest(source_size, 1) AS passes, goal % grea
   FROM x JOIN p ON x.rank = p.rank AND x.block = p.block)
 SELECT doc_id, size, source_size, target, CAST(passes * size + CASE WHEN start + words <= rest THEN size
   WHEN start < rest THEN least(size, greatest(0, rest - start - before)) ELSE 0 END AS BIGINT) AS taken FROM y""",
+    "op9_ngram_jaccard": rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, CAST(len(w) AS BIGINT) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM p JOIN n x ON a = x.r JOIN n y ON b = y.r WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+z(r, m) AS (SELECT r, r FROM d UNION SELECT z.r, e.b FROM z JOIN e ON z.m = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM z JOIN d ON z.r = d.r JOIN d o ON z.m = o.r LEFT JOIN n ON n.r = d.r GROUP BY d.r, d.doc_id""",
+    "op10_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT r, h, unnest(range(0, CAST(length(h) AS BIGINT) // 2 - 199)) AS i FROM d)),
+t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS n FROM w) WHERE n > 1),
+g AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM t),
+k AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM g),
+u AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM k GROUP BY r, run),
+q AS (SELECT r, b AS a, coalesce(lead(a) OVER (PARTITION BY r ORDER BY a), 1000000000) AS b FROM u
+  UNION ALL SELECT r, 0, min(a) FROM u GROUP BY r),
+x AS (SELECT q.r, string_agg(substr(h, 2 * q.a + 1, 2 * (q.b - q.a)), '' ORDER BY q.a) AS kept FROM q JOIN d ON q.r = d.r GROUP BY q.r),
+c AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM u GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN c ON d.r = c.r LEFT JOIN x ON d.r = x.r""",
 }
 
 if corpus_pipeline.ORACLE_SQL:
