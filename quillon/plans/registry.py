@@ -65,4 +65,4 @@ def load() -> None:
         importlib.import_module(f"quillon.plans.{name}")
 
 
-MODULES = ["scans", "joins", "aggregates", "windows", "ctes", "tpch", "scalars", "library"]
+MODULES = ["scans", "joins", "aggregates", "windows", "ctes", "tpch", "scalars", "library", "more"]
