@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bytehash
-from quillon.llm.common import SPACES, materialize
+from quillon.llm.common import SPACES, let_go, materialize, release
 from quillon.llm.graph import components
 
 SLOT_BITS = 28  # counting slots of a bucket, as a power of two
@@ -45,18 +45,45 @@ class Join:
         return range(-(-self.num * n // self.den), self.den * n // self.num + 1)
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles; ASCII letters in lower case; none without words."""
-    data = bytehash.LOWER[bytehash.as_bytes(text)]
-    return np.unique(bytehash.shingles(bytehash.words(data), size)) if len(data) else np.empty(0, np.uint64)
+def shingle_sets(texts: Iterable[str | None], size: int, chunk: int = 1 << 18) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its shingles; ASCII letters in lower case; none without words.
+
+    Texts of about ``chunk`` bytes are hashed at once, as one array; a longer text is one of its own.
+    """
+    gap = np.full(1, 32, np.uint8)
+
+    def sets(parts: list[np.ndarray]) -> Iterator[np.ndarray]:
+        data = bytehash.LOWER[np.concatenate(parts)]
+        start, end = bytehash.word_bounds(data)
+        h = bytehash.between(bytehash.prefix(data), start, end)
+        cut = np.searchsorted(start, np.cumsum([0, *(len(p) for p in parts)]))
+        whole = bytehash.shingles(h, size) if len(h) >= size else h[:0]
+        for a, b in zip(cut.tolist(), cut[1:].tolist()):
+            if b - a < size:
+                yield bytehash.shingles(h[a:b], size)
+                continue
+            s = np.sort(whole[a : b - size + 1])
+            fresh = np.empty(len(s), bool)
+            fresh[0] = True
+            np.not_equal(s[1:], s[:-1], out=fresh[1:])
+            yield s[fresh]
+
+    parts, held = [], 0
+    for t in texts:
+        parts.append(np.concatenate([bytehash.as_bytes(t), gap]))
+        held += len(parts[-1])
+        if held > chunk:
+            yield from sets(parts)
+            parts, held = [], 0
+    if parts:
+        yield from sets(parts)
 
 
 def _signatures(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             n, a, b = [], [], []
-            for t in batch["t"]:
-                s = shingle_set(t, size)
+            for s in shingle_sets(batch["t"], size):
                 n.append(len(s))
                 a.append(s.sum(dtype=np.uint64))
                 b.append(bytehash.mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
@@ -93,9 +120,9 @@ def _count_rows(size: int, bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts, held = [], 0
         for batch in batches:
-            for t in batch["t"]:
-                parts.append(shingle_set(t, size))
-                held += len(parts[-1])
+            for s in shingle_sets(batch["t"], size):
+                parts.append(s)
+                held += len(s)
                 if held > limit:
                     yield flush(parts)
                     parts, held = [], 0
@@ -181,8 +208,7 @@ def _postings(join: Join, order: Order, boundary: int):
             def put(k: np.ndarray, pos: np.ndarray) -> None:
                 keys.append(k), poss.append(pos), nodes.append(np.full(len(k), node)), ns.append(np.full(len(k), n))
 
-            for node, t in zip(batch["node"], batch["t"]):
-                s = shingle_set(t, join.size)
+            for node, s in zip(batch["node"], shingle_sets(batch["t"], join.size)):
                 n = len(s)
                 for c in sizes.get(n, ()):
                     k = subset_keys(s, c)
@@ -205,33 +231,32 @@ def _cross_pairs(join: Join):
 
     def pairs(g: pd.DataFrame) -> pd.DataFrame:
         comp, n, node, pos, block = (g[c].to_numpy() for c in ("comp", "n", "node", "pos", "block"))
-        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        out = []
-        for x in range(len(g) - 1):
-            # sorted by size, so partners of x lie in one range behind it
-            top = np.searchsorted(n, join.den * int(n[x]) // join.num, side="right")
-            y = np.arange(x + 1, top)
-            y = y[comp[y] != comp[x]]
-            if i != j:
-                y = y[block[y] != block[x]]
-            if len(y):
-                rest = np.minimum(n[x] - pos[x], n[y] - pos[y])
-                y = y[rest * (join.num + join.den) >= join.num * (n[x].astype(np.int64) + n[y])]
-                out.append(np.stack([np.full(len(y), node[x]), node[y]]))
-        ab = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-        return pd.DataFrame({"a": np.minimum(*ab), "b": np.maximum(*ab)})
+        n, pos = n.astype(np.int64), pos.astype(np.int64)
+        key, i, j = (g[c].to_numpy() for c in ("key", "i", "j"))
+        x, out = np.arange(len(g)), [np.empty((2, 0), np.int64)]
+        for d in range(1, len(g)):
+            # Entries and those d behind them; lists are sorted by size, so who has found the end of its partners is done.
+            x = x[: np.searchsorted(x, len(g) - d)]
+            y = x + d
+            near = (key[x] == key[y]) & (i[x] == i[y]) & (j[x] == j[y]) & (join.den * n[x] >= join.num * n[y])
+            x, y = x[near], y[near]
+            if not len(x):
+                break
+            rest = np.minimum(n[x] - pos[x], n[y] - pos[y])
+            good = (comp[x] != comp[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (rest * (join.num + join.den) >= join.num * (n[x] + n[y]))
+            out.append(np.stack([node[x[good]], node[y[good]]]))
+        a, b = np.concatenate(out, axis=1)
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for batch in batches:
             batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            k = batch[["key", "i", "j"]].to_numpy()
-            cut = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
-            at = [0, *cut]
-            found = [pairs(batch.iloc[s:e]) for s, e in zip(at, at[1:]) if e - s > 1]
-            rest = batch.iloc[at[-1] :]
-            if found:
-                yield pd.concat(found).drop_duplicates()
+            last = batch.iloc[-1]
+            whole = ~((batch["key"] == last["key"]) & (batch["i"] == last["i"]) & (batch["j"] == last["j"]))
+            rest = batch[~whole]
+            if whole.any():
+                yield pairs(batch[whole]).drop_duplicates()
         if rest is not None and len(rest) > 1:
             yield pairs(rest).drop_duplicates()
 
@@ -241,7 +266,7 @@ def _cross_pairs(join: Join):
 def _sets(size: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [np.ascontiguousarray(shingle_set(t, size).view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for t in batch["t"]]
+            sets = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes() for s in shingle_sets(batch["t"], size)]
             yield pd.DataFrame({"node": batch["node"], "s": sets})
 
     return run
@@ -273,6 +298,7 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     pairs = materialize(pairs.distinct(), "candidates")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     s = materialize(sets.join(wanted, "node", "left_semi").mapInPandas(_sets(join.size), "node long, s binary"), "candidate-sets")
+    let_go(pairs.sparkSession)
     both = pairs.join(s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     return both.mapInPandas(_verify(join), "a long, b long")
 
@@ -298,6 +324,7 @@ def links(sets: DataFrame, total: int, join: Join) -> DataFrame:
     sure = met.filter("small").filter(F.lit(join.num + join.den) * -F.col("pos") >= bound).select("a", "b").distinct()
     tried = met.filter(~F.col("small")).filter(F.lit(join.den) * F.col("na") >= F.lit(join.num) * F.col("nb")).select("a", "b")
     first = materialize(sure.unionByName(verified(tried, sets, join)), "links-first")
+    release(met)
     comp = materialize(components(first), "components-first")
     lists = made.filter("pos >= 0").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     mixed = lists.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
