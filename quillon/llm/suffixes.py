@@ -205,7 +205,8 @@ def row_key(key: Column, text: Column) -> tuple[Column, Column]:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """ra, rb, start, end: the byte ranges of ``docs`` (ra, rb, t) that repeated strings cover; ranges may overlap."""
     found = materialize(docs.mapInPandas(_anchor_rows, "ra long, rb long, hash long, pos int"), "suffix-anchors")
-    twice = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+    # Stored, so that the join has a plain scan on this side and Spark may split a hot anchor's rows on the other.
+    twice = materialize(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "suffix-twice")
     shared = found.join(twice, "hash", "left_semi")
     lists = shared.groupBy("ra", "rb").agg(F.collect_set(F.struct("hash", "pos")).alias("at"))
     copies = docs.groupBy("ra", "rb").agg(F.count(F.lit(1)).alias("copies"), F.first("t").alias("t"))
@@ -215,7 +216,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     occ = occ.select("ra", "rb", "copies", "x.hash", p.alias("pos"), left.alias("left"), F.substring(F.col("t"), p + 1, F.lit(LENGTH)).alias("right"))
     occ = occ.withColumn("ca", F.xxhash64("left", "right")).withColumn("cb", F.xxhash64("right", "left", F.lit("b")))
     occ = materialize(occ, "suffix-contexts")
-    release(found)
+    release(found, twice)
     counts = occ.groupBy("hash", "ca", "cb").agg(F.sum("copies").alias("n"), F.first(F.octet_length("left")).alias("nl"), F.first(F.octet_length("right")).alias("nr"))
     counts = materialize(counts, "suffix-counts")
     whole = counts.filter((F.col("n") > 1) & (F.col("nl") + F.col("nr") >= LENGTH)).select("hash", "ca", "cb", (-F.col("nl")).cast("long").alias("lo"), F.col("nr").cast("long").alias("hi"))
