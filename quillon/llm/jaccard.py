@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bytehash
-from quillon.llm.common import SPACES, let_go, materialize, release
+from quillon.llm.common import SPACES, broadcast_if_small, let_go, materialize, release
 from quillon.llm.graph import components
 
 SLOT_BITS = 28  # counting slots of a bucket, as a power of two
@@ -297,6 +297,7 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """Those of the distinct pairs whose sets link."""
     pairs = materialize(pairs.distinct(), "candidates")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = broadcast_if_small(materialize(wanted, "candidate-nodes"))
     s = materialize(sets.join(wanted, "node", "left_semi").mapInPandas(_sets(join.size), "node long, s binary"), "candidate-sets")
     let_go(pairs.sparkSession)
     both = pairs.join(s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
@@ -318,17 +319,19 @@ def links(sets: DataFrame, total: int, join: Join) -> DataFrame:
     made = sets.select("node", "t").mapInPandas(_postings(join, order, boundary), "key long, node long, n int, pos int")
     made = materialize(made, "postings")
     center = made.groupBy("key", (F.col("pos") < 0).alias("small")).agg(F.min(F.struct("n", "node")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    met = made.withColumn("small", F.col("pos") < 0).join(center, ["key", "small"]).filter(F.col("node") != F.col("c.node"))
-    met = materialize(met.select("key", "small", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"), "pos"), "lists")
+    met = made.withColumn("small", F.col("pos") < 0).join(center, ["key", "small"])
+    met = materialize(met.select("key", "small", "k", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"), "pos"), "lists")
+    release(made)
+    others = met.filter("a <> b")
     bound = F.lit(join.num) * (F.col("na") + F.col("nb"))
-    sure = met.filter("small").filter(F.lit(join.num + join.den) * -F.col("pos") >= bound).select("a", "b").distinct()
-    tried = met.filter(~F.col("small")).filter(F.lit(join.den) * F.col("na") >= F.lit(join.num) * F.col("nb")).select("a", "b")
+    sure = others.filter("small").filter(F.lit(join.num + join.den) * -F.col("pos") >= bound).select("a", "b").distinct()
+    tried = others.filter(~F.col("small")).filter(F.lit(join.den) * F.col("na") >= F.lit(join.num) * F.col("nb")).select("a", "b")
     first = materialize(sure.unionByName(verified(tried, sets, join)), "links-first")
-    release(met)
     comp = materialize(components(first), "components-first")
-    lists = made.filter("pos >= 0").join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    mixed = lists.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    lists = lists.join(mixed.select("key", F.ceil(F.col("k") / LIST).cast("int").alias("g")), "key")
+    lists = met.filter("pos >= 0").select("key", "k", F.col("b").alias("node"), F.col("nb").alias("n"), "pos")
+    lists = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    mixed = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    lists = lists.join(mixed, "key", "left_semi").withColumn("g", F.ceil(F.col("k") / LIST).cast("int"))
     lists = lists.withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     lists = lists.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "comp", "n", "node", "pos", "block")
     dealt = lists.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node")
