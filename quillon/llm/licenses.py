@@ -7,12 +7,13 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COVERAGE = 0.8  # share of a template's words that must align
-SMALL = 64  # gaps up to this size without anchors are aligned word by word
+BLOCK = 1 << 20  # cells of a table of alignments; longer regions take several
 
 # Public license notices, by name.
 TEMPLATES: dict[str, str] = {
@@ -80,16 +81,18 @@ def increasing(values: Sequence[int]) -> list[int]:
 
 
 def word_by_word(a: list[str], b: list[str], ao: int, bo: int) -> list[tuple[int, int]]:
-    """A longest common subsequence of two short gaps."""
-    n, m = len(a), len(b)
+    """A longest common subsequence of two gaps; words of one side alone can't align and are left out first."""
+    in_a, in_b = set(a), set(b)
+    at, bt = [i for i, w in enumerate(a) if w in in_b], [j for j, w in enumerate(b) if w in in_a]
+    n, m = len(at), len(bt)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if a[at[i]] == b[bt[j]] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
     while i < n and j < m:
-        if a[i] == b[j]:
-            out.append((ao + i, bo + j))
+        if a[at[i]] == b[bt[j]]:
+            out.append((ao + at[i], bo + bt[j]))
             i, j = i + 1, j + 1
         elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
@@ -104,7 +107,7 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     Words unique in both are anchors; of those, a longest run that increases in
     both is kept, and the gaps between them are aligned in the same way. A gap
     without anchors gives its equal ends, and what is left of it is aligned word
-    by word if it is small.
+    by word.
     """
     out: list[tuple[int, int]] = []
     todo = [(0, len(text), 0, len(template))]
@@ -122,8 +125,7 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
         where = {w: j for j, w in enumerate(template[c:d], c) if in_template[w] == 1}
         pairs = [(i, where[text[i]]) for i in range(a, b) if in_text[text[i]] == 1 and text[i] in where]
         if not pairs:
-            if b - a <= SMALL and d - c <= SMALL:
-                out += word_by_word(text[a:b], template[c:d], a, c)
+            out += word_by_word(text[a:b], template[c:d], a, c)
             continue
         kept = [pairs[k] for k in increasing([j for _, j in pairs])]
         out += kept
@@ -134,52 +136,114 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def windows(text: list[str], template: list[str], starts: Sequence[int], need: int) -> list[tuple[int, int, int]]:
+    """(aligned words, first word, end) for each start and each number of aligned words from ``need``: the shortest window of up to twice the template.
+
+    The aligned words are those of a longest common subsequence, for all windows
+    of a block of starts at once.
+    """
+    number = {w: k for k, w in enumerate(dict.fromkeys(template))}
+    span = 2 * len(template)
+    x = np.array([number.get(w, -1) for w in text] + [-1] * span, np.int16)
+    out: list[tuple[int, int, int]] = []
+    step = max(1, BLOCK // span)
+    for k in range(0, len(starts), step):
+        at = np.array(starts[k : k + step])
+        seen = x[at[:, None] + np.arange(span)]
+        best = np.zeros((len(at), span + 1), np.int16)
+        for w in template:
+            best[:, 1:] = np.maximum(best[:, 1:], best[:, :-1] + (seen == number[w]))
+            np.maximum.accumulate(best, axis=1, out=best)
+        for c in range(need, len(template) + 1):
+            rows = np.flatnonzero(best[:, -1] >= c)
+            if not len(rows):
+                break
+            out += [(c, int(s), int(s + e)) for s, e in zip(at[rows], (best[rows] >= c).argmax(axis=1))]
+    return out
+
+
 class Scanner:
-    """Templates as words, with the places of their cue words."""
+    """Templates as words, with the templates of each cue word."""
 
     def __init__(self, templates: dict[str, str] = TEMPLATES, coverage: float = COVERAGE):
-        self.coverage = coverage
         self.templates = {k: words(v) for k, v in templates.items()}
+        self.counts = {k: Counter(w) for k, w in self.templates.items()}
+        self.need = {k: max(1, next(c for c in range(len(w) + 1) if c >= coverage * len(w))) for k, w in self.templates.items()}
         self.cues = frozenset(cues(templates, coverage))
-        self.places: dict[str, list[tuple[str, int]]] = defaultdict(list)
-        for name, w in self.templates.items():
-            for i, x in enumerate(w):
+        self.names: dict[str, list[str]] = defaultdict(list)
+        for name, count in self.counts.items():
+            for x in count:
                 if x in self.cues:
-                    self.places[x].append((name, i))
-
-    def regions(self, text: list[str]) -> Iterator[tuple[str, int, int]]:
-        """Parts of the text where a template may stand: around the starts that its cue words imply."""
-        starts: dict[str, set[int]] = defaultdict(set)
-        for i, x in enumerate(text):
-            for name, j in self.places.get(x, ()):
-                starts[name].add(i - j)
-        for name, found in starts.items():
-            n = len(self.templates[name])
-            slack = max(2, n // 4)
-            group: list[int] = []
-            for s in [*sorted(found), None]:
-                if group and (s is None or s - group[-1] > slack):
-                    yield name, max(0, group[0] - slack), min(len(text), group[-1] + n + slack)
-                    group = []
-                if s is not None:
-                    group.append(s)
+                    self.names[x].append(name)
+
+    def regions(self, text: list[str], name: str) -> Iterator[tuple[list[int], int, int]]:
+        """Starts of windows of twice the template that hold as many of its words as must align, with the most that one holds and all that they hold; by runs of windows that overlap."""
+        often, need, span = self.counts[name], self.need[name], 2 * len(self.templates[name])
+        at = [i for i, w in enumerate(text) if w in often]
+        have: Counter[str] = Counter()
+        total = most = end = first = 0
+        group: list[int] = []
+        for k, s in enumerate(at):
+            while end < len(at) and at[end] < s + span:
+                have[text[at[end]]] += 1
+                total += have[text[at[end]]] <= often[text[at[end]]]
+                end += 1
+            if total >= need:
+                if group and s >= group[-1] + span:
+                    yield group, most, last - first
+                    group, most = [], 0
+                first = first if group else k
+                group.append(s)
+                most, last = max(most, total), end
+            total -= have[text[s]] <= often[text[s]]
+            have[text[s]] -= 1
+        if group:
+            yield group, most, last - first
+
+    def notices(self, text: list[str], name: str) -> list[tuple[int, int, int]]:
+        """(aligned words, first word, end) of all windows in which the template may stand, the closest first.
+
+        Patience alignment settles a region with room for one notice if it aligns
+        as many words as any alignment can, in about as many as the template has. In
+        others no anchor may be left, as where copies stand together, or an anchor
+        may stand for another copy; there all windows are aligned word by word.
+        """
+        t, need = self.templates[name], self.need[name]
+        out: list[tuple[int, int, int]] = []
+        for starts, most, held in self.regions(text, name):
+            if held < 2 * need:
+                a = starts[0]
+                pairs = align(text[a : starts[-1] + 2 * len(t)], t)
+                if len(pairs) == most and 4 * (pairs[-1][0] + 1 - pairs[0][0]) <= 5 * len(t):
+                    out.append((most, a + pairs[0][0], a + pairs[-1][0] + 1))
+                    continue
+            out += windows(text, t, starts, need)
+        return sorted(out, key=lambda x: (x[2] - x[1] - 2 * x[0], -x[0], x[1]))
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(license, coverage, first word, end) of each template found; of overlapping ones, the one that aligns more words."""
+        """(license, coverage, first word, end) of each template found; of overlapping ones, the one that aligns more words, and of one template's, the one that passes over fewer."""
         w = words(text or "")
-        found = []
-        for name, a, b in self.regions(w):
-            t = self.templates[name]
-            pairs = align(w[a:b], t)
-            if pairs and len(pairs) >= self.coverage * len(t):
-                first, end = a + pairs[0][0], a + pairs[-1][0] + 1
-                if end - first <= 2 * len(t):
-                    found.append((len(pairs), name, len(pairs) / len(t), first, end))
+        count = Counter(w)
+        taken = np.zeros(len(w), bool)
+        left: dict[str, Iterator[tuple[int, int, int]]] = {}
+        for name in dict.fromkeys(n for x in count for n in self.names.get(x, ())):
+            if sum(min(count[x], c) for x, c in self.counts[name].items()) >= self.need[name]:
+                left[name] = iter(self.notices(w, name))
         out: list[tuple[str, float, int, int]] = []
-        for _, name, share, first, end in sorted(found, key=lambda x: (-x[0], -x[2], x[1], x[3])):
-            if all(end <= x[2] or x[3] <= first for x in out):
-                out.append((name, share, first, end))
-        return sorted(out, key=lambda x: (x[2], x[0]))
+        heads: dict[str, tuple[int, int, int]] = {}
+        while True:
+            for name, more in left.items():
+                head = heads.pop(name, None) or next(more, None)
+                while head and taken[head[1] : head[2]].any():
+                    head = next(more, None)
+                if head:
+                    heads[name] = head
+            if not heads:
+                return sorted(out, key=lambda x: (x[2], x[0]))
+            name = min(heads, key=lambda k: (-heads[k][0], -heads[k][0] / len(self.templates[k]), k))
+            c, first, end = heads.pop(name)
+            taken[first:end] = True
+            out.append((name, c / len(self.templates[name]), first, end))
 
 
 def may_hold(text: Column, words: Sequence[str]) -> Column:

@@ -191,6 +191,27 @@ def test_licenses_whole_changed_repeated_and_absent(spark):
     assert by[len(texts) - 1] == ["MIT-short", "MIT-short"] and not any(by[i] for i in range(len(ODD)))
 
 
+@pytest.mark.parametrize("gap", [0, 10, 40])
+@pytest.mark.parametrize("name", [k for k, t in licenses.TEMPLATES.items() if len(licenses.words(t)) > 30])
+def test_licenses_that_stand_twice(name, gap):
+    w = licenses.words(licenses.TEMPLATES[name])
+    damaged = w[: len(w) // 2] + ["changed"] + w[len(w) // 2 + 3 :]
+    for second in (w, damaged):
+        text = ["lead"] * 200 + w + ["between"] * gap + second + ["tail"] * 200
+        got = [(r[0], r[2], r[3]) for r in licenses.Scanner().scan(" ".join(text))]
+        at = 200 + len(w) + gap
+        assert got == [(name, 200, 200 + len(w)), (name, at, at + len(second))]
+
+
+def test_license_windows_against_brute_force():
+    r = random.Random(6)
+    for _ in range(60):
+        t, x = [r.choice("abcd") for _ in range(5)], [r.choice("abcdz") for _ in range(14)]
+        got = {(c, s, e) for c, s, e in licenses.windows(x, t, range(len(x)), 3)}
+        lcs = {(s, e): len(licenses.word_by_word(x[s:e], t, 0, 0)) for s in range(14) for e in range(s, min(14, s + 10) + 1)}
+        assert got == {(c, s, min(e for e in range(s, min(14, s + 10) + 1) if lcs[s, e] >= c)) for c in range(3, 6) for s in range(14) if lcs[s, min(14, s + 10)] >= c}
+
+
 def test_patience_alignment():
     assert licenses.increasing([3, 1, 2, 5, 4]) in ([1, 2, 4], [1, 2, 3])
     a, b = "x the a b the c y".split(), "the a q b the c".split()
