@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, exact edit verification."""
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over item-sized windows, rare bigrams where samples don't do, exact edit verification."""
 
 from __future__ import annotations
 
@@ -19,7 +19,8 @@ MIN_WORDS = 5  # shorter items identify no passage and aren't searched
 COORDINATES = 3  # embedding coordinates in a sample
 PER_WALK = 8  # samples that share a walk
 RECALL = 0.99  # aimed at on the items themselves with as many random edits as allowed
-MAX_SAMPLES = 128
+MAX_SAMPLES = 128  # items for which these don't reach the recall are searched by bigrams, which miss none
+MAX_PAIRS = 1 << 22  # places of bigrams held at once
 BLOCK_ITEMS = 20_000  # items in an index; more are searched in several rounds
 BITMAP = 1 << 23
 
@@ -61,7 +62,7 @@ def sample_key(walk: np.ndarray, columns: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Group:
-    """Items of like length, with one sorted table of keys for each sample."""
+    """Items of like length, with one sorted table of keys for each sample, or with one of bigrams if samples are too few."""
 
     items: list[int]
     reach: int  # words from a start in which an item's bigrams lie
@@ -70,6 +71,7 @@ class Group:
     samples: list[tuple[int, np.ndarray]] = field(default_factory=list)  # seed of the walk, coordinates
     keys: list[np.ndarray] = field(default_factory=list)
     owners: list[np.ndarray] = field(default_factory=list)
+    offsets: np.ndarray | None = None  # of the bigrams in their items; None: searched by samples
 
 
 def edits_allowed(n: int) -> int:
@@ -105,9 +107,14 @@ class Index:
                 self.bigrams[self.slots(w)] = True
         self.groups = [self.group(v) for _, v in sorted(by_size.items())]
 
+    @staticmethod
+    def pairs(w: np.ndarray) -> np.ndarray:
+        """A hash for each bigram."""
+        return bytehash.mix(w[:-1] * np.uint64(bytehash.BASE) + w[1:])
+
     @staticmethod
     def slots(w: np.ndarray) -> np.ndarray:
-        return (bytehash.mix(w[:-1] * np.uint64(bytehash.BASE) + w[1:]) & np.uint64(BITMAP - 1)).astype(np.int64)
+        return (Index.pairs(w) & np.uint64(BITMAP - 1)).astype(np.int64)
 
     def group(self, items: list[int]) -> Group:
         sizes = [len(self.words[i]) for i in items]
@@ -136,11 +143,62 @@ class Index:
             for x in near:
                 found |= sample_key(x, columns) == keys[truth]
             if s >= PER_WALK - 1 and found.mean() >= RECALL:
-                break
-        return g
+                return g
+        return self.by_bigrams(g)
+
+    def by_bigrams(self, g: Group) -> Group:
+        """The group with 2k + 1 bigrams of each item, its rarest in the group, in place of samples.
+
+        Each of k edits takes two bigrams of an item at most, so a matching passage
+        keeps at least one of these whatever the edits are.
+        """
+        every = [self.pairs(self.words[i]) for i in g.items]
+        hashes, count = np.unique(np.concatenate(every), return_counts=True)
+        keys, owners, offsets = [], [], []
+        for i, b in zip(g.items, every):
+            rare = np.argsort(count[np.searchsorted(hashes, b)], kind="stable")[: 2 * edits_allowed(len(b) + 1) + 1]
+            keys.append(b[rare]), owners.append(np.full(len(rare), i)), offsets.append(rare)
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        return Group(g.items, g.reach, g.needed, g.steps, keys=[key[order]], owners=[np.concatenate(owners)[order]], offsets=np.concatenate(offsets)[order])
+
+    def bigram_candidates(self, g: Group, h: np.ndarray, doc: np.ndarray, sums: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(place, item, words by which the place may be too early, text) where a bigram of an item stands among enough bigrams of the benchmark."""
+        (keys,), (owners,) = g.keys, g.owners
+        b = self.pairs(h)
+        p = np.arange(len(b))
+        dense = sums[np.minimum(p + g.reach, len(sums) - 1)] - sums[np.maximum(p - g.reach, 0)] >= g.needed
+        p = p[dense & (doc[1:] == doc[:-1])]
+        lo, hi = np.searchsorted(keys, b[p]), np.searchsorted(keys, b[p], side="right")
+        p, lo, n = p[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+        size = np.array([len(w) for w in self.words])
+        upto = np.cumsum(n)
+        a, parts = 0, []
+        while a < len(p):
+            z = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + MAX_PAIRS, side="right")))
+            at = np.repeat(p[a:z], n[a:z])
+            k = np.repeat(lo[a:z] - np.concatenate([[0], np.cumsum(n[a:z])[:-1]]), n[a:z]) + np.arange(len(at))
+            item, start = owners[k], at - g.offsets[k]
+            edits = (EDITS * size[item]).astype(np.int64)
+            have = sums[np.clip(start + size[item] + edits, 0, len(sums) - 1)] - sums[np.clip(start - edits, 0, len(sums) - 1)]
+            keep = have >= size[item] - 1 - 2 * edits
+            parts.append(np.unique(np.stack([item[keep], doc[at[keep]], start[keep]]), axis=1))
+            a = z
+        if not parts:
+            return
+        last = None
+        for i, d, at in np.unique(np.concatenate(parts, axis=1), axis=1).T.tolist():
+            if last is not None and last[:2] == (i, d) and at - last[2] <= edits_allowed(len(self.words[i])):
+                last = (i, d, last[2], at)
+                continue
+            if last is not None:
+                yield last[2], last[0], last[3] - last[2], last[1]
+            last = (i, d, at, at)
+        if last is not None:
+            yield last[2], last[0], last[3] - last[2], last[1]
 
-    def candidates(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(place, item) pairs of equal samples, over all starts in the words of several texts.
+    def candidates(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(place, item, words by which the place may be too early, text) of equal samples or bigrams, over all starts in the words of several texts.
 
         Starts that can't match are left out first: with k edits an item of n
         words keeps n - 1 - 2k of its bigrams, so a matching window has as many
@@ -152,6 +210,9 @@ class Index:
         sums = np.zeros(len(h), np.int32)
         np.cumsum(known, out=sums[1:])
         for g in self.groups:
+            if g.offsets is not None:
+                yield from self.bigram_candidates(g, h, doc, sums)
+                continue
             ahead = np.concatenate([sums[g.reach :], np.full(min(g.reach, len(h)), sums[-1])])
             starts = np.flatnonzero(ahead - sums >= g.needed)
             if not len(starts):
@@ -168,22 +229,22 @@ class Index:
                     while y < len(keys) and keys[y] == k[x]:
                         seen.add((int(starts[x]), g.items[owners[y]]))
                         y += 1
-            yield from seen
+            yield from ((at, i, 0, int(doc[at])) for at, i in seen)
 
     def search(self, h: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], int]:
         """For each text and item that match, their least edit distance at a candidate place."""
         best: dict[tuple[int, int], int] = {}
-        for at, i in sorted(self.candidates(h, doc)):
-            pair = (int(doc[at]), i)
+        for at, i, late, text in sorted(self.candidates(h, doc)):
+            pair = (text, i)
             if best.get(pair) == 0:
                 continue
             w = self.words[i]
             k = edits_allowed(len(w))
             first, end = np.searchsorted(doc, [pair[0], pair[0] + 1])
-            if at + len(w) <= end and (h[at : at + len(w)] == w).all():
+            if first <= at and at + len(w) <= end and (h[at : at + len(w)] == w).all():
                 best[pair] = 0
                 continue
-            region = h[max(first, at - k) : min(end, at + len(w) + k)]
+            region = h[max(first, at - k) : min(end, at + late + len(w) + k)]
             known, often = self.counted[i]
             place = np.minimum(np.searchsorted(known, region), len(known) - 1)
             have = np.bincount(place[known[place] == region], minlength=len(known))

@@ -157,6 +157,25 @@ def test_decontamination_recall_and_precision(spark):
     assert decontam.clean(odd, bench.limit(0)).columns == odd.columns
 
 
+def test_decontamination_misses_nothing_where_samples_do_not_do(monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_SAMPLES", 8)  # reached at sizes that are searched fast
+    r = random.Random(5)
+    words = lambda n: [f"w{int(r.paretovariate(0.5)) % 20000}" for _ in range(n)]
+    items = [words(r.randint(100, 300)) for _ in range(30)]
+    texts = []
+    for w in items:
+        x = list(w)
+        for _ in range(decontam.edits_allowed(len(w))):
+            k = r.randrange(len(x))
+            x[k : k + r.randint(0, 1)] = [f"zq{r.randrange(99)}"] * r.randint(0, 1)
+        texts.append(" ".join(words(100) + x + words(100)))
+    texts += [" ".join(w) for w in items] + [" ".join(words(500)) for _ in range(10)]
+    index = decontam.Index(list(range(len(items))), [" ".join(w) for w in items])
+    got = decontam.find_hits(texts, index)
+    assert [[i for i, _ in x] for x in got] == [[i] for i in range(len(items))] * 2 + [[]] * 10
+    assert all(x[0][1] == 0 for x in got[len(items) : 2 * len(items)])
+
+
 def test_edit_distance_against_brute_force():
     import numpy as np
 
