@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from quillon.llm import bytehash
 
 EDITS = 0.2  # a passage matches an item with up to this share of its words edited
-MIN_WORDS = 5  # shorter items identify no passage and aren't searched
+MIN_WORDS = 5  # shorter items allow no edit and are searched by exact match
 COORDINATES = 3  # embedding coordinates in a sample
 PER_WALK = 8  # samples that share a walk
 RECALL = 0.99  # aimed at on the items themselves with as many random edits as allowed
@@ -24,15 +26,52 @@ MAX_PAIRS = 1 << 22  # places of bigrams held at once
 BLOCK_ITEMS = 20_000  # items in an index; more are searched in several rounds
 BITMAP = 1 << 23
 
-#: Bytes of words; anything else parts words. Texts come case-folded.
-FOLD = np.full(256, 32, np.uint8)
-for _c in b"abcdefghijklmnopqrstuvwxyz0123456789" + bytes(range(128, 256)):
-    FOLD[_c] = _c
+# First and last characters of scripts that don't part words by spaces, by Unicode block.
+SPACELESS = (
+    (0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3038, 0x303C),
+    (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9DF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F), (0xAA80, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF), (0x20000, 0x323AF),
+)
+PARTS, JOINS, ALONE = 0, 1, 2
 
 
-def tokens(data: np.ndarray) -> np.ndarray:
+@functools.lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """Of each character, whether it parts words, joins others to a word, or is a word of its own.
+
+    White space, controls and punctuation part words, ASCII symbols too. Characters of scripts
+    without spaces are words, and so are other symbols. Texts come case-folded.
+    """
+    out = np.full(0x110000, JOINS, np.uint8)
+    for first, last in SPACELESS:
+        out[first : last + 1] = ALONE
+    for c in range(0x323B0):
+        kind = unicodedata.category(chr(c))
+        if kind[0] in "PZ" or kind in ("Cc", "Cs") or c == 0x200B or (c < 128 and not chr(c).isalnum()):
+            out[c] = PARTS
+        elif kind[0] == "S":
+            out[c] = ALONE
+        elif kind == "Nd":
+            out[c] = JOINS
+    return out
+
+
+def as_points(text: str | None) -> np.ndarray:
+    """The code points of a text, case-folded; null is empty."""
+    return np.frombuffer((text or "").casefold().encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def bounds(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of words."""
+    kind = np.zeros(len(points) + 2, np.uint8)
+    kind[1:-1] = classes()[points]
+    joins, alone = kind == JOINS, kind == ALONE
+    return np.flatnonzero(alone[1:-1] | (joins[1:-1] & ~joins[:-2])), np.flatnonzero(alone[1:-1] | (joins[1:-1] & ~joins[2:])) + 1
+
+
+def tokens(points: np.ndarray) -> np.ndarray:
     """Hashes of a text's words, punctuation and case aside."""
-    return bytehash.words(FOLD[data])
+    start, end = bounds(points)
+    return bytehash.between(bytehash.prefix(points), start, end)
 
 
 def embed(h: np.ndarray, starts: np.ndarray, steps: int, seed: int) -> np.ndarray:
@@ -97,15 +136,23 @@ class Index:
 
     def __init__(self, ids: list, texts: list[str | None]):
         self.ids = ids
-        self.words = [tokens(bytehash.as_bytes((t or "").casefold())) for t in texts]
+        self.words = [tokens(as_points(t)) for t in texts]
         self.counted = [np.unique(w, return_counts=True) for w in self.words]
         self.bigrams = np.zeros(BITMAP, bool)
         by_size: dict[int, list[int]] = defaultdict(list)
+        short: dict[int, list[int]] = defaultdict(list)
         for i, w in enumerate(self.words):
             if len(w) >= MIN_WORDS:
                 by_size[int(np.log(len(w)) / np.log(1.4))].append(i)
                 self.bigrams[self.slots(w)] = True
+            elif len(w):
+                short[len(w)].append(i)
         self.groups = [self.group(v) for _, v in sorted(by_size.items())]
+        self.short: list[tuple[int, np.ndarray, np.ndarray]] = []  # words, sorted keys, items
+        for n, v in sorted(short.items()):
+            keys = np.concatenate([bytehash.shingles(self.words[i], n) for i in v])
+            order = np.argsort(keys, kind="stable")
+            self.short.append((n, keys[order], np.array(v)[order]))
 
     @staticmethod
     def pairs(w: np.ndarray) -> np.ndarray:
@@ -231,9 +278,21 @@ class Index:
                         y += 1
             yield from ((at, i, 0, int(doc[at])) for at, i in seen)
 
+    def exact(self, h: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(text, item) pairs of items that allow no edit, by equal runs of words."""
+        for n, keys, items in self.short:
+            if len(h) < n:
+                continue
+            k = bytehash.shingles(h, n)
+            lo, hi = np.searchsorted(keys, k), np.searchsorted(keys, k, side="right")
+            at = np.flatnonzero((hi > lo) & (doc[n - 1 :] == doc[: len(k)]))
+            # Equal runs have equal items, so one of each in a text will do.
+            for text, a, z in np.unique(np.stack([doc[at], lo[at], hi[at]]), axis=1).T.tolist():
+                yield from ((text, int(i)) for i in items[a:z])
+
     def search(self, h: np.ndarray, doc: np.ndarray) -> dict[tuple[int, int], int]:
         """For each text and item that match, their least edit distance at a candidate place."""
-        best: dict[tuple[int, int], int] = {}
+        best: dict[tuple[int, int], int] = dict.fromkeys(self.exact(h, doc), 0)
         for at, i, late, text in sorted(self.candidates(h, doc)):
             pair = (text, i)
             if best.get(pair) == 0:
@@ -270,22 +329,22 @@ def edit_distance(item: np.ndarray, region: np.ndarray) -> int:
 
 
 def find_hits(texts: list[str | None], index: Index, chunk: int = 1 << 19) -> list[list[tuple[int, int]]]:
-    """(item, distance) pairs for each text. Texts of about ``chunk`` bytes are searched at once; a long text is one of its own."""
+    """(item, distance) pairs for each text. Texts of about ``chunk`` characters are searched at once; a long text is one of its own."""
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
     parts, rows, held = [], [], 0
 
     def flush() -> None:
-        joined = FOLD[np.concatenate(parts)]
-        start, end = bytehash.word_bounds(joined)
+        joined = np.concatenate(parts)
+        start, end = bounds(joined)
         h = bytehash.between(bytehash.prefix(joined), start, end)
         doc = np.repeat(np.arange(len(parts)), np.diff(np.searchsorted(start, np.cumsum([0, *(len(p) for p in parts)]))))
         for (d, i), distance in sorted(index.search(h, doc).items()):
             out[rows[d]].append((i, distance))
 
-    gap = np.full(1, 32, np.uint8)
+    gap = np.full(1, 32, np.uint32)
     for row, t in enumerate(texts):
         if t:
-            parts.append(np.concatenate([bytehash.as_bytes(t.casefold()), gap])), rows.append(row)
+            parts.append(np.concatenate([as_points(t), gap])), rows.append(row)
             held += len(parts[-1])
             if held > chunk:
                 flush()
@@ -321,15 +380,16 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: st
     """Adds the matching items to every row, as an array of item_id and distance, sorted; empty without a match.
 
     Words count without case and punctuation. An item of n words matches if a
-    passage differs from it in at most a fifth of n edits of whole words. Null
-    and empty texts match nothing, nor do null, empty and short items; an empty
-    benchmark matches nothing. Items with equal ids are items of their own.
+    passage differs from it in at most a fifth of n edits of whole words, so one
+    of under five words only by an equal passage. Characters of scripts without
+    spaces count as words. Null and empty texts match nothing, nor do null items
+    and those without a word; an empty benchmark matches nothing. Items with equal ids are items of their own.
     """
     kind = f"array<struct<item_id:{benchmark.schema['item_id'].dataType.simpleString()},distance:int>>"
     found: list[Column] = []
     for ids, texts in blocks_of_items(benchmark):
         index = Index(ids, texts)
-        if not index.groups:
+        if not index.groups and not index.short:
             continue
         found.append(searcher(docs.sparkSession.sparkContext.broadcast(index), kind)(F.col(text)))
     return docs.withColumn(out, F.concat(*found) if len(found) > 1 else found[0] if found else F.array().cast(kind))

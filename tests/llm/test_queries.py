@@ -176,6 +176,17 @@ def test_decontamination_misses_nothing_where_samples_do_not_do(monkeypatch):
     assert all(x[0][1] == 0 for x in got[len(items) : 2 * len(items)])
 
 
+def test_decontamination_of_short_items_and_scripts_without_spaces(spark):
+    items = ["Quelle est?", "Zug", "北京是中华人民共和国的首都。它位于华北平原。", "東京は日本の首都です。", "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย", "北京", "?!", "", None]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["so, QUELLE   est - now", "Zugabe quelle", "der “Zug”", "前文" + items[2] + "後文", "前文北京是中华人民共和国的首都它位于华东平原后文", "あの" + items[3], "ก" + items[4] + "ก", "上海", "quelle", "est"]
+    got = {i: set() for i in range(len(texts))}
+    for x in decontam.contaminated(docs_of(spark, texts), bench).collect():
+        got[x.doc_id].add((x.item_id, x.distance))
+    assert list(got.values()) == [{(0, 0)}, set(), {(1, 0)}, {(2, 0), (5, 0)}, {(2, 1), (5, 0)}, {(3, 0)}, {(4, 0)}, set(), set(), set()]
+    assert decontam.clean(docs_of(spark, texts), bench).count() == 4
+
+
 def test_edit_distance_against_brute_force():
     import numpy as np
 
