@@ -132,6 +132,18 @@ def signature_similarity(a: Column, b: Column) -> Column:
     return same / F.size(a)
 
 
+def minhash_pairs(sets: DataFrame, rows: int = 4) -> DataFrame:
+    """id_a, id_b, estimate, exact: the similarity of all pairs of sets (id, w) that agree in a band of ``rows`` values of their signatures (s)."""
+    at = F.posexplode(F.transform(F.sequence(F.lit(0), F.size("s") - rows, F.lit(rows)), lambda i: F.xxhash64(F.slice("s", i + 1, rows))))
+    band = sets.select("id", at.alias("band", "key"))
+    a, b = band.select(F.col("id").alias("id_a"), "band", "key"), band.select(F.col("id").alias("id_b"), "band", "key")
+    pairs = a.join(b, ["band", "key"]).filter("id_a < id_b").select("id_a", "id_b").distinct()
+    side = lambda x: sets.select(F.col("id").alias(f"id_{x}"), F.col("w").alias(f"w_{x}"), F.col("s").alias(f"s_{x}"))
+    both = F.size(F.array_intersect("w_a", "w_b"))
+    exact = both / (F.size("w_a") + F.size("w_b") - both)
+    return pairs.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", signature_similarity(F.col("s_a"), F.col("s_b")).alias("estimate"), exact.alias("exact"))
+
+
 def equi_width_histogram(df: DataFrame, column: str, low: float, high: float, buckets: int) -> DataFrame:
     b = F.width_bucket(F.col(column), F.lit(low), F.lit(high), F.lit(buckets).cast("long"))
     return df.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))

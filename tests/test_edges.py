@@ -103,3 +103,20 @@ def test_vectors_and_text_with_zero_and_empty(spark):
     assert {r.doc_id for r in A.tf_idf_search(d, ["license", "mit"]).collect()} == {3, 4}
     assert {r.doc_id for r in A.phrase_search(d, ["license", "mit"]).collect()} == {4}
     assert A.merge_intervals(spark.createDataFrame([("a", 1, 3), ("a", 3, 5), ("a", 7, 8)], "k string, s int, e int"), "k", "s", "e").count() == 2
+
+
+def test_minhash_takes_every_document(spark, tmp_path):
+    import itertools
+
+    from quillon.plans import registry
+
+    registry.load()
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words + [f"x{i}"]) for i in range(6)] + [" ".join(f"y{i}_{k}" for k in range(60)) for i in range(6)] + [" ".join(words + ["x0"]), None, ""]
+    docs = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.near for r in registry.QUERIES["sketch_minhash"](spark, str(tmp_path)).collect()] == [True]
+    sets = docs.filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.array_distinct(F.split("text", " ")).alias("w")).withColumn("s", A.minhash(F.col("w")))
+    got = {(r.id_a, r.id_b): r.exact for r in A.minhash_pairs(sets).collect()}
+    of = {100 + i: set(t.split(" ")) for i, t in enumerate(texts) if t is not None}
+    assert got == {(a, b): len(of[a] & of[b]) / len(of[a] | of[b]) for a, b in itertools.combinations(of, 2) if of[a] & of[b]}
