@@ -33,6 +33,9 @@ TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re.I)
 SPLIT_NAME = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 AWAY_BIT, MAIN_BIT, HEAD_BIT = 1, 2, 4
+NAMED_BIT, OTHERS_BIT = 8, 16  # away by a word of its class or id only; by one for texts of others
+WORDS_OTHERS = frozenset("ad ads advert advertisement promo sponsor sponsored sponsors comment comments commentlist disqus reply replies respond discussion related recommended".split())
+HOLDS_MOST = 0.5  # an element named as away isn't if it holds more than this share of the page's prose
 SCALE = 1000  # capacities are whole numbers of thousandths of a log odd
 
 
@@ -56,6 +59,7 @@ def names_in(value: str) -> set[str]:
 @functools.lru_cache(maxsize=4096)
 def flags_of(tag: str, attrs: str) -> int:
     """What an element says about the text in it: away from the article, part of it, or a heading."""
+    named = 0
     flags = (AWAY_BIT if tag in AWAY else 0) | (MAIN_BIT if tag in ("article", "main") else 0) | (HEAD_BIT if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else 0)
     if tag == "header":
         flags |= AWAY_BIT
@@ -64,20 +68,29 @@ def flags_of(tag: str, attrs: str) -> int:
         if name in ("class", "id"):
             words = names_in(value)
             if words & WORDS_AWAY:
-                flags |= AWAY_BIT
+                named = 0 if tag in ("html", "body") else NAMED_BIT | OTHERS_BIT if words & WORDS_OTHERS else 0 if tag in ("article", "main") else named | NAMED_BIT
             elif words & WORDS_MAIN and tag not in ("body", "html"):
                 flags |= MAIN_BIT
         elif name == "role":
             flags |= (AWAY_BIT if value.lower() in ROLES_AWAY else 0) | (MAIN_BIT if value.lower() in ("main", "article") else 0)
         elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
             flags |= AWAY_BIT
-    return flags
+    return flags if flags & AWAY_BIT else flags | named
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order. Broken markup is read as far as it goes; nothing raises."""
+    """Text blocks in page order. Broken markup is read as far as it goes; nothing raises.
+
+    Where no article stands free, elements that only a class or id names as away are
+    wrappers of the page, and not away, if they hold its longest article or main
+    element or most of its prose; those named for the texts of others only if that
+    article holds most of it.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("#root", 0, 0)]  # name, flags with those above, number
+    inside: list[tuple[tuple[int, ...], int]] = []  # of each block, the named elements around it and the article
+    articles: dict[int, tuple[int, ...]] = {}
+    others: set[int] = set()
+    stack: list[tuple[str, int, int, tuple[int, ...], int]] = [("#root", 0, 0, (), 0)]  # name, flags with those above, number, named elements and article around
     open_names: Counter[str] = Counter()
     pieces: list[str] = []
     linked = links = number = at = 0
@@ -90,6 +103,7 @@ def blocks_of(page: str) -> list[Block]:
                 top = next((s for s in reversed(stack) if s[0] not in INLINE), stack[0])
                 i = stack.index(top)
                 out.append(Block(text, linked, stack[-1][1], top[0], top[2], stack[max(0, i - 1)][2]))
+                inside.append(stack[-1][3:])
             pieces.clear()
         linked = 0
 
@@ -147,10 +161,38 @@ def blocks_of(page: str) -> list[Block]:
         own, above = flags_of(name, attrs), stack[-1][1]
         if name == "header" and above & MAIN_BIT and own == AWAY_BIT:
             own = 0  # the article's own head
-        stack.append((name, above | own, number))
+        named, article = stack[-1][3:]
+        if own & NAMED_BIT:
+            named = (*named, number)
+            if own & OTHERS_BIT:
+                others.add(number)
+        elif name in ("article", "main") and not (above | own) & AWAY_BIT:
+            article = number
+            articles[number] = named
+        own &= ~(NAMED_BIT | OTHERS_BIT)
+        stack.append((name, above | own, number, named, article))
         open_names[name] += 1
         links += name == "a"
     flush()
+    if not any(names for names, _ in inside):
+        return out
+    prose: Counter[int] = Counter()
+    total = 0
+    for b, (names, article) in zip(out, inside):
+        if not b.flags & AWAY_BIT:
+            n = max(0, len(b.text) - b.linked)
+            total += n
+            for k in (*names, article):
+                prose[k] += n
+    wrappers: set[int] = set()
+    if not any(b.flags & MAIN_BIT and not b.flags & AWAY_BIT and not names for b, (names, _) in zip(out, inside)):
+        wrappers = {k for k, n in prose.items() if n > HOLDS_MOST * total and k not in others}
+        longest = max(articles, key=lambda k: prose[k], default=0)
+        if longest and (others.isdisjoint(articles[longest]) or prose[longest] > HOLDS_MOST * total):
+            wrappers.update(articles[longest])
+    for b, (names, _) in zip(out, inside):
+        if not wrappers.issuperset(names):
+            b.flags |= AWAY_BIT
     return out
 
 

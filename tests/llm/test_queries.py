@@ -82,6 +82,17 @@ def test_html_keeps_the_article_only():
     assert html.main_text(p) == "A & B Bold text <tag> goes on for a while here. Second paragraph, with inline. Short."
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+@pytest.mark.parametrize("around", ["<body class='has-sidebar'>{}</body>", "<html class='nav-open'><body>{}</body></html>", "<div class='content sidebar-right'>{}</div>", "<div id='page' class='social'>{}</div>", "<div id='page' class='social'><div class='with-sidebar'>{}</div></div>"])
+def test_html_wrappers_named_like_boilerplate(around, tag):
+    p = f"<{tag}><h1>A headline</h1>" + "".join(f"<p>Paragraph {k} goes on for a while and says something of its own about it.</p>" for k in "abcdef") + f"</{tag}>"
+    away = '<div class="sidebar"><p>Other things in a list.</p></div><section id="comments"><article class="comment"><p>A comment that is long and looks like prose.</p></article></section><div class="related"><article><p>Another story starts here.</p></article></div>'
+    want = " ".join(re.sub("<[^>]*>", " ", p).split())
+    assert html.main_text(around.format("<nav><a href='/'>Home</a></nav>" + p + away)) == want
+    if tag != "div":
+        assert html.main_text(p + away.replace("looks like prose", "looks like prose " * 60)) == want
+
+
 def test_html_on_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (3, "u", "<"), (4, "u", "<p"), (5, "u", "plain text only"), (6, None, "<div " * 2000), (7, "u", "<script>never closed"), (8, "u", "<p>" + "w " * 50000), (8, "u", "<a href='x>y</a>")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(0))).collect()
