@@ -107,7 +107,12 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def _count_rows(size: int, bits: int):
-    """Shingles of many sets as packed slots by bucket; one set of rows for some million shingles."""
+    """Shingles of many sets as packed slots by bucket; one set of rows for some million shingles.
+
+    Of each set of rows a slot counts FREQUENT + 1 times at most, so the counts
+    of common shingles and the expected list length come out too small. They
+    decide the order and the boundary only, of which any is valid.
+    """
     shift, limit = np.uint64(64 - SLOT_BITS - bits), 1 << 22
 
     def flush(parts: list[np.ndarray]) -> pd.DataFrame:
