@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import tempfile
 import uuid
 import weakref
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,30 +27,62 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from the columns, case aside."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of a row as one struct, so that none can clash with those of an operator; ``select(name.*)`` unpacks it."""
+    return F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); only where none is set, as in tests, a local one."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``).
+
+    Where none is set, a session on a local master (tests) gets a temporary folder;
+    on a cluster such a folder would lose data, so that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="quillon-"))
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+@contextlib.contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete the shuffle files of each execution that starts in this block as soon as it ends."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back.
 
     Cuts the lineage where a result is used several times or must not be
     computed anew in another way (loops, sizes that decide a plan). The files
     outlive executors, so a lost one costs only the tasks it was running. What
-    steps before it have shuffled is let go first.
+    the writing has shuffled goes once it is written.
     """
     spark = df.sparkSession
-    let_go(spark)
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    with shuffles_go(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = (weakref.ref(out), path)
     return out
 
@@ -58,12 +90,6 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
 _paths: dict[int, tuple[weakref.ref, str]] = {}
 
 
-def let_go(spark: SparkSession) -> None:
-    """Has Spark delete the shuffle files of plans that nothing refers to any more; else they stay until the driver's heap is full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def release(*tables: DataFrame) -> None:
     """Deletes the files behind tables made by :func:`materialize`, when no plan that is still to run reads them."""
     for df in tables:

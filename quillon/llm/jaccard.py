@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bytehash
-from quillon.llm.common import SPACES, broadcast_if_small, let_go, materialize, release
+from quillon.llm.common import SPACES, broadcast_if_small, materialize, packed, release
 from quillon.llm.graph import components
 
 SLOT_BITS = 28  # counting slots of a bucket, as a power of two
@@ -22,6 +22,7 @@ FREQUENT = 32  # shingles in more sets come last in the order
 MAX_FREQUENT = 1 << 21  # entries of the table of them that tasks get; above, FREQUENT doubles
 MAX_SMALL = 19  # sets beyond this size have too many subsets in any case
 LIST = 50_000  # an inverted list is scanned in blocks of so many entries
+LEAST_BITS, MOST_BITS = 128, 8192  # of a set's parity sketch; above, sketches only prune less
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,10 @@ class Join:
         """Of two linked sets, the first so many elements in any common order share one."""
         return n - -(-self.num * n // self.den) + 1
 
+    def most_apart(self, total: np.ndarray) -> np.ndarray:
+        """Of linked sets with so many elements in all, the most that stand in one of the two only."""
+        return total * (self.den - self.num) // (self.den + self.num)
+
     def partners(self, n: int) -> range:
         """Sizes of sets that a set of ``n`` can link with."""
         return range(-(-self.num * n // self.den), self.den * n // self.num + 1)
@@ -202,68 +207,162 @@ def subset_keys(s: np.ndarray, c: int) -> np.ndarray:
     return bytehash.mix(spread.sum(dtype=np.uint64) - spread[away].sum(axis=1, dtype=np.uint64) + np.uint64(c))
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """A set's sketch: for each of two to four times as many slots as it has elements, whether an odd number of them falls there.
+
+    Two sketches differ in no more slots than the sets differ in elements.
+    The number of slots is a power of two; half of it is the two halves' XOR.
+    """
+    slots = min(MOST_BITS, max(LEAST_BITS, 2 << (len(s) - 1).bit_length()))
+    spread = bytehash.mix(s ^ np.uint64(0x9FB21C651E98DF25)) & np.uint64(slots - 1)
+    return np.packbits(np.bincount(spread.astype(np.int64), minlength=slots).astype(np.uint8) & 1)
+
+
+def folded(sketch: np.ndarray) -> np.ndarray:
+    """Sketches (rows) of half the slots."""
+    half = sketch.shape[1] // 2
+    return sketch[:, :half] ^ sketch[:, half:]
+
+
 def _postings(join: Join, order: Order, boundary: int):
-    """key, node, n, pos for every set: prefix elements, or with pos -c the subsets of c elements."""
+    """key, node, n, pos for every set: prefix elements, or with pos -c the subsets of c elements, told apart by the key's last bit.
+
+    One more row of each large set has its sketch in ``bits``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sizes = {n: subset_sizes(join, n, boundary) for n in range(1, boundary + 1)}
+        one = np.uint64(1)
         for batch in batches:
-            keys, nodes, ns, poss = [], [], [], []
+            keys, nodes, ns, poss, bits = [], [], [], [], []
 
             def put(k: np.ndarray, pos: np.ndarray) -> None:
-                keys.append(k), poss.append(pos), nodes.append(np.full(len(k), node)), ns.append(np.full(len(k), n))
+                keys.append(k), poss.append(pos), nodes.append(np.full(len(k), node)), ns.append(np.full(len(k), n)), bits.extend([None] * len(k))
 
             for node, s in zip(batch["node"], shingle_sets(batch["t"], join.size)):
                 n = len(s)
                 for c in sizes.get(n, ()):
-                    k = subset_keys(s, c)
+                    k = subset_keys(s, c) | one
                     put(k, np.full(len(k), -c))
                 if n > boundary or join.partners(n)[-1] > boundary:
-                    k = order.arrange(s)[: join.prefix(n)]
+                    k = order.arrange(s)[: join.prefix(n)] & ~one
                     put(k, np.arange(len(k)))
+                    put(np.zeros(1, np.uint64), np.zeros(1, np.int64))
+                    bits[-1] = parities(s).tobytes()
             if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(ns).astype(np.int32), "pos": np.concatenate(poss).astype(np.int32)})
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(ns).astype(np.int32), "pos": np.concatenate(poss).astype(np.int32), "bits": bits})
 
     return run
 
 
-def _cross_pairs(join: Join):
-    """Pairs from sorted inverted lists (key, i, j; comp, n, node, pos, block): sets of different components that may link.
+class Sketches:
+    """The sketches of a list's entries, by number of slots; each stands under its own number and under half of it."""
+
+    def __init__(self, bits: list[bytes]):
+        width = np.array([len(b) for b in bits])
+        self.width, self.at, self.rows = width, np.zeros((2, len(bits)), np.int64), {}
+        for w in np.unique(np.concatenate([width, width // 2])).tolist():
+            own, double = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+            self.at[0, own], self.at[1, double] = np.arange(len(own)), np.arange(len(own), len(own) + len(double))
+            parts = [np.frombuffer(b"".join(bits[i] for i in own), np.uint8).reshape(-1, w)]
+            parts.append(folded(np.frombuffer(b"".join(bits[i] for i in double), np.uint8).reshape(-1, 2 * w)))
+            self.rows[w] = np.concatenate(parts)
+
+    def differ(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of entries, in how many slots their sketches differ (0 where the sizes are too far apart) and how many slots there are."""
+        out = np.zeros(len(x), np.int64)
+        w = np.minimum(self.width[x], self.width[y])
+        near = np.maximum(self.width[x], self.width[y]) <= 2 * w
+        for v in np.unique(w[near]).tolist():
+            p = np.flatnonzero(near & (w == v))
+            a = self.rows[v][self.at[(self.width[x[p]] > v).astype(int), x[p]]]
+            b = self.rows[v][self.at[(self.width[y[p]] > v).astype(int), y[p]]]
+            out[p] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        return out, 8 * w
+
+
+class Forest:
+    """Which entries of a list hang together already."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self.up = np.unique(labels, return_inverse=True)
+        self.label = self.up.copy()
+        self.up = np.arange(self.up.max() + 1 if len(self.up) else 0)
+
+    def grown(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of pairs in this order, those that join two trees; the trees are joined."""
+        keep = np.zeros(len(x), bool)
+        for k, (a, b) in enumerate(zip(self.label[x].tolist(), self.label[y].tolist())):
+            a, b = self.root(a), self.root(b)
+            if a != b:
+                self.up[max(a, b)] = min(a, b)
+                keep[k] = True
+        if keep.any():
+            while (self.up != self.up[self.up]).any():
+                self.up = self.up[self.up]
+            self.label = self.up[self.label]
+        return keep
+
+    def root(self, a: int) -> int:
+        while self.up[a] != a:
+            a = int(self.up[a])
+        return a
+
+
+def _cross_pairs(join: Join, forest: bool):
+    """Pairs from sorted inverted lists (key, i, j; comp, n, node, pos, block, bits): sets of different components that may link.
 
     Only sizes that can link and, counting from the shared element on, leave
-    enough elements are paired. Lists run on over batches.
+        enough elements are paired, and of those only sets whose sketches don't show
+    that they differ in too many elements. With ``forest`` sketches must be as
+    close as those of linked sets are on the average, and a list gives no pair
+    for sets that earlier pairs of it connect. Lists run on over batches.
     """
 
     def pairs(g: pd.DataFrame) -> pd.DataFrame:
         comp, n, node, pos, block = (g[c].to_numpy() for c in ("comp", "n", "node", "pos", "block"))
         n, pos = n.astype(np.int64), pos.astype(np.int64)
-        key, i, j = (g[c].to_numpy() for c in ("key", "i", "j"))
+        cell = (g[["key", "i", "j"]] != g[["key", "i", "j"]].shift()).any(axis=1).cumsum().to_numpy()
+        cut, sketches = g["i"].to_numpy() != g["j"].to_numpy(), Sketches(list(g["bits"]))
+        trees = Forest(pd.MultiIndex.from_arrays([cell, comp]).factorize()[0]) if forest else None
         x, out = np.arange(len(g)), [np.empty((2, 0), np.int64)]
         for d in range(1, len(g)):
             # Entries and those d behind them; lists are sorted by size, so who has found the end of its partners is done.
             x = x[: np.searchsorted(x, len(g) - d)]
             y = x + d
-            near = (key[x] == key[y]) & (i[x] == i[y]) & (j[x] == j[y]) & (join.den * n[x] >= join.num * n[y])
+            near = (cell[x] == cell[y]) & (join.den * n[x] >= join.num * n[y])
             x, y = x[near], y[near]
             if not len(x):
                 break
             rest = np.minimum(n[x] - pos[x], n[y] - pos[y])
-            good = (comp[x] != comp[y]) & ((i[x] == j[x]) | (block[x] != block[y])) & (rest * (join.num + join.den) >= join.num * (n[x] + n[y]))
-            out.append(np.stack([node[x[good]], node[y[good]]]))
+            total = n[x] + n[y]
+            good = (comp[x] != comp[y]) & (~cut[x] | (block[x] != block[y])) & (rest * (join.num + join.den) >= join.num * total)
+            if forest:
+                good &= trees.label[x] != trees.label[y]
+            a, b, most = x[good], y[good], join.most_apart(total[good])
+            differ, slots = sketches.differ(a, b)
+            fit = differ <= (slots / 2 * -np.expm1(-2 * most / slots) if forest else most)
+            a, b = a[fit], b[fit]
+            if forest and len(a):
+                keep = trees.grown(a, b)
+                a, b = a[keep], b[keep]
+            out.append(np.stack([node[a], node[b]]))
         a, b = np.concatenate(out, axis=1)
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest: list[pd.DataFrame] = []  # the list that the last batch ended in
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             last = batch.iloc[-1]
-            whole = ~((batch["key"] == last["key"]) & (batch["i"] == last["i"]) & (batch["j"] == last["j"]))
-            rest = batch[~whole]
-            if whole.any():
-                yield pairs(batch[whole]).drop_duplicates()
-        if rest is not None and len(rest) > 1:
-            yield pairs(rest).drop_duplicates()
+            new = ~((batch["key"] == last["key"]) & (batch["i"] == last["i"]) & (batch["j"] == last["j"]))
+            if rest and new.any() or rest and (rest[0].iloc[0][["key", "i", "j"]] != last[["key", "i", "j"]]).any():
+                yield pairs(pd.concat([*rest, batch[new]], ignore_index=True)).drop_duplicates()
+                rest = []
+            elif new.any():
+                yield pairs(batch[new].reset_index(drop=True)).drop_duplicates()
+            rest.append(batch[~new])
+        if rest:
+            yield pairs(pd.concat(rest, ignore_index=True)).drop_duplicates()
 
     return run
 
@@ -302,11 +401,23 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     """Those of the distinct pairs whose sets link."""
     pairs = materialize(pairs.distinct(), "candidates")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = broadcast_if_small(materialize(wanted, "candidate-nodes"))
-    s = materialize(sets.join(wanted, "node", "left_semi").mapInPandas(_sets(join.size), "node long, s binary"), "candidate-sets")
-    let_go(pairs.sparkSession)
+    wanted = materialize(wanted, "candidate-nodes")
+    s = materialize(sets.join(broadcast_if_small(wanted), "node", "left_semi").mapInPandas(_sets(join.size), "node long, s binary"), "candidate-sets")
     both = pairs.join(s.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return both.mapInPandas(_verify(join), "a long, b long")
+    out = materialize(both.mapInPandas(_verify(join), "a long, b long"), "links-verified")
+    release(pairs, wanted, s)
+    return out
+
+
+def apart_in_lists(lists: DataFrame, comp: DataFrame, bits: DataFrame, join: Join, forest: bool) -> DataFrame:
+    """Pairs of sets of different components that share an inverted list (key, node, n, pos) and may link."""
+    lists = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+    mixed = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k")).filter("lo <> hi").select("key", "k")
+    lists = lists.join(mixed, "key").join(bits, "node").withColumn("g", F.ceil(F.col("k") / LIST).cast("int"))
+    lists = lists.withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    lists = lists.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "comp", "n", "node", "pos", "block", "bits")
+    dealt = lists.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node")
+    return dealt.mapInPandas(_cross_pairs(join, forest), "a long, b long")
 
 
 def links(sets: DataFrame, total: int, join: Join) -> DataFrame:
@@ -315,39 +426,41 @@ def links(sets: DataFrame, total: int, join: Join) -> DataFrame:
     Small sets meet in buckets of equal subsets, as large as the intersection
     that a link needs; a bucket's smallest set links with every other one that the
     sizes allow, and no further link could join more. Large sets are found by
-    scanning inverted lists. A first scan tries each list's smallest set against
-    the others. A second one tries all pairs of a list whose sets are still in
-    different components. Each candidate pair is verified on the sets.
+    scanning inverted lists: first each list's smallest set against the others;
+    then, where sets of a list are still in different components, a forest of
+    the pairs whose sketches are alike; last, all pairs that are left and that
+    the sketches allow. Few are, so pairs grow with the lists and hardly with
+    their squares. Each candidate pair is verified on the sets.
     """
     order, length = frequency_order(sets, total, join.size)
     boundary = choose_boundary(join, length)
-    made = sets.select("node", "t").mapInPandas(_postings(join, order, boundary), "key long, node long, n int, pos int")
+    made = sets.select("node", "t").mapInPandas(_postings(join, order, boundary), "key long, node long, n int, pos int, bits binary")
     made = materialize(made, "postings")
-    center = made.groupBy("key", (F.col("pos") < 0).alias("small")).agg(F.min(F.struct("n", "node")).alias("c"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    met = made.withColumn("small", F.col("pos") < 0).join(center, ["key", "small"])
-    met = materialize(met.select("key", "small", "k", F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"), "pos"), "lists")
-    release(made)
-    others = met.filter("a <> b")
-    bound = F.lit(join.num) * (F.col("na") + F.col("nb"))
-    sure = others.filter("small").filter(F.lit(join.num + join.den) * -F.col("pos") >= bound).select("a", "b").distinct()
-    tried = others.filter(~F.col("small")).filter(F.lit(join.den) * F.col("na") >= F.lit(join.num) * F.col("nb")).select("a", "b")
-    first = materialize(sure.unionByName(verified(tried, sets, join)), "links-first")
-    comp = materialize(components(first), "components-first")
-    lists = met.filter("pos >= 0").select("key", "k", F.col("b").alias("node"), F.col("nb").alias("n"), "pos")
-    lists = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    mixed = lists.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    lists = lists.join(mixed, "key", "left_semi").withColumn("g", F.ceil(F.col("k") / LIST).cast("int"))
-    lists = lists.withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    lists = lists.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "comp", "n", "node", "pos", "block")
-    dealt = lists.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node")
-    second = verified(dealt.mapInPandas(_cross_pairs(join), "a long, b long"), sets, join)
-    return first.unionByName(second)
+    entries = made.filter("bits is null").drop("bits")
+    shared = materialize(entries.groupBy("key").count().filter("count > 1").select("key"), "shared-keys")
+    met = materialize(entries.join(shared, "key", "left_semi"), "lists")
+    bits = materialize(made.filter("bits is not null").select("node", "bits"), "sketches")
+    release(made, shared)
+    center = met.groupBy("key").agg(F.min(F.struct("n", "node", "pos")).alias("c"))
+    others = met.join(center, "key").filter("node <> c.node").withColumn("total", F.col("n") + F.col("c.n"))
+    pair = (F.col("c.node").alias("a"), F.col("node").alias("b"))
+    need = F.lit(join.num) * F.col("total")
+    sure = others.filter("pos < 0").filter(F.lit(join.num + join.den) * -F.col("pos") >= need).select(*pair).distinct()
+    rest = F.least(F.col("n") - F.col("pos"), F.col("c.n") - F.col("c.pos"))
+    tried = others.filter("pos >= 0").filter(F.lit(join.den) * F.col("c.n") >= F.lit(join.num) * F.col("n")).filter(F.lit(join.num + join.den) * rest >= need)
+    found = materialize(sure.unionByName(verified(tried.select(*pair), sets, join)), "links-first")
+    large = met.filter("pos >= 0")
+    for forest in (True, False):
+        comp = materialize(components(found), "components-so-far")
+        found = materialize(found.unionByName(verified(apart_in_lists(large, comp, bits, join, forest), sets, join)), "links-found")
+    release(met, bits)
+    return found
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """The rows with ``__k``, ``__t`` and a 128-bit key of both in ``ra`` and ``rb``."""
-    d = docs.withColumn("__k", F.col(key)).withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    return d.withColumn("ra", F.xxhash64("__k", "__t")).withColumn("rb", F.xxhash64("__t", "__k", F.lit("b")))
+    """doc_id, t and a 128-bit key of both in ``ra`` and ``rb``, with the whole row in ``row``."""
+    d = docs.select(packed(docs).alias("row"), F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    return d.withColumn("ra", F.xxhash64("doc_id", "t")).withColumn("rb", F.xxhash64("t", "doc_id", F.lit("b")))
 
 
 def joined(d: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
@@ -376,9 +489,10 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), key: str = "doc_id"
     own key where there is none. Null and empty texts and those without words
     have an empty set and link with nothing. Rows with a null key take part and
     are passed over when the smallest key is sought. Equal rows and rows of equal
-    keys are rows of their own.
+    keys are rows of their own. Other columns, whatever their names, are ignored;
+    an empty table gives an empty result.
     """
-    d = keyed(docs, key, text).select(F.col("__k").alias("doc_id"), F.col("__t").alias("t"), "ra", "rb")
+    d = keyed(docs, key, text).drop("row")
     rows, classes = joined(d, join)
     least = classes.groupBy("component").agg(F.min("first").alias("f"))
     ids = classes.join(least, "component").select("ka", "kb", F.col("f.doc_id").alias("smallest"), "node")
@@ -387,14 +501,15 @@ def jaccard_components(docs: DataFrame, join: Join = Join(), key: str = "doc_id"
 
 
 def keep_one(docs: DataFrame, join: Join = Join(5, 8, 10), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without all but one of each group that links join, with their columns as they are.
+    """The rows of ``docs`` without all but one of each group that links join, with all their columns as they are, whatever their names.
 
     The row with the smallest key stays (a null key is the largest), of rows with
-    equal keys and texts any one. Texts without words are no group; all stay.
+    equal keys and texts any one. Texts without words are no group; all stay. An
+    empty table gives an empty one.
     """
-    d = keyed(docs.select(*docs.columns), key, text)
-    _, classes = joined(d.select(F.col("__k").alias("doc_id"), F.col("__t").alias("t"), "ra", "rb"), join)
+    d = keyed(docs, key, text)
+    _, classes = joined(d.drop("row"), join)
     stay = materialize(classes.groupBy("component").agg(F.min("first").alias("f")).select("f.ra", "f.rb"), "keepers")
-    empty = F.length(F.translate("__t", SPACES, "")) == 0
+    empty = F.length(F.translate("t", SPACES, "")) == 0
     one = d.filter(~empty).join(stay, ["ra", "rb"], "left_semi").dropDuplicates(["ra", "rb"])
-    return one.select(*docs.columns).unionByName(d.filter(empty).select(*docs.columns))
+    return one.select("row.*").unionByName(d.filter(empty).select("row.*"))
