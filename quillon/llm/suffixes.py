@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bytehash
-from quillon.llm.common import materialize, release
+from quillon.llm.common import broadcast_if_small, materialize, release
 
 LENGTH = 200  # bytes of a string that counts as repeated
 GRAM = 50  # bytes of an anchor
@@ -70,15 +71,60 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield flush(a, b, parts)
 
 
+def shared(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """For pairs of rows, the bytes after the head that they share before a text ends or they differ; -1 for another anchor."""
+    differ = (rows != others) | (rows == 0)
+    body = differ[:, 9:]
+    lcp = np.where(body.any(axis=1), body.argmax(axis=1), body.shape[1])
+    return np.where(differ[:, :8].any(axis=1) & (rows[:, :8] != others[:, :8]).any(axis=1), -1, lcp)
+
+
+@dataclass(frozen=True)
+class Array:
+    """A suffix array: rows in order, whose they are, and what each but the first shares with the one before."""
+
+    rows: np.ndarray
+    at: np.ndarray
+    lcp: np.ndarray
+
+    @staticmethod
+    def of(rows: np.ndarray) -> Array:
+        order = np.argsort(Array.view(rows), kind="stable")
+        rows = rows[order]
+        return Array(rows, order, shared(rows[1:], rows[:-1]))
+
+    @staticmethod
+    def view(rows: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel()
+
+    def merged(self, other: Array) -> Array:
+        """Both in one order; neighbours that stay neighbours keep what they share. The other's rows get the numbers after this one's."""
+        n, m = len(self.at), len(other.at)
+        behind = np.searchsorted(self.view(self.rows), self.view(other.rows), side="right") + np.arange(m)
+        theirs = np.zeros(n + m, bool)
+        theirs[behind] = True
+        ahead = np.flatnonzero(~theirs)
+        rows = np.empty((n + m, self.rows.shape[1]), np.uint8)
+        rows[ahead], rows[behind] = self.rows, other.rows
+        at, lcp = np.empty(n + m, np.int64), np.empty(n + m, np.int64)
+        at[ahead], at[behind] = self.at, other.at + n
+        lcp[ahead[1:]], lcp[behind[1:]] = self.lcp, other.lcp
+        new = np.flatnonzero(theirs[1:] != theirs[:-1]) + 1
+        lcp[new] = shared(rows[new], rows[new - 1])
+        return Array(rows, at, lcp[1:])
+
+
+@dataclass(frozen=True)
 class Level:
-    """A suffix array of anchors' surroundings: forwards from the anchor, and backwards from it."""
+    """Suffix arrays of anchors' surroundings: forwards from the anchor, and backwards from it."""
 
-    def __init__(self, ids: np.ndarray, forward: np.ndarray, backward: np.ndarray):
-        """Rows of bytes, zero where a text ends; the first nine of each name the anchor, and no other byte is zero."""
-        self.ids, self.forward, self.backward = ids, forward, backward
+    ids: np.ndarray
+    forward: Array
+    backward: Array
 
     @staticmethod
     def of(ids: np.ndarray, hashes: np.ndarray, lefts: list[bytes], rights: list[bytes]) -> Level:
+        """Rows of bytes, zero where a text ends; the first nine of each name the anchor, and no other byte is zero."""
         head = hashes.astype(">i8").view(np.uint8).reshape(-1, 8)
 
         def rows(texts: list[bytes], size: int, back: bool) -> np.ndarray:
@@ -89,24 +135,13 @@ class Level:
                 out[i, 9 : 9 + len(x)] = (x[::-1] if back else x) + 1  # UTF-8 has no byte 255
             return out
 
-        return Level(ids, rows(rights, LENGTH, False), rows(lefts, LEFT, True))
+        return Level(ids, Array.of(rows(rights, LENGTH, False)), Array.of(rows(lefts, LEFT, True)))
 
     def __len__(self) -> int:
         return len(self.ids)
 
     def merged(self, other: Level) -> Level:
-        return Level(*(np.concatenate(x) for x in ((self.ids, other.ids), (self.forward, other.forward), (self.backward, other.backward))))
-
-
-def sorted_lcp(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the rows, and for each but the first in it the bytes after the head shared with the one before; -1 for another anchor."""
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), kind="stable")
-    s = rows[order]
-    differ = (s[1:] != s[:-1]) | (s[1:] == 0)
-    first = np.where(differ.any(axis=1), differ[:, 9:].argmax(axis=1), rows.shape[1] - 9)
-    full = ~differ[:, 9:].any(axis=1)
-    first = np.where(full, rows.shape[1] - 9, first)
-    return order, np.where((s[1:, :8] != s[:-1, :8]).any(axis=1), -1, first)
+        return Level(np.concatenate([self.ids, other.ids]), self.forward.merged(other.forward), self.backward.merged(other.backward))
 
 
 def repeated(level: Level) -> tuple[np.ndarray, np.ndarray]:
@@ -120,14 +155,13 @@ def repeated(level: Level) -> tuple[np.ndarray, np.ndarray]:
     most, least = np.full(n, -1), np.full(n, -1)
     if n < 2:
         return most, least
-    fo, fl = sorted_lcp(level.forward)
-    bo, bl = sorted_lcp(level.backward)
+    f, b = level.forward, level.backward
     fr, br = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for l in range(LEFT + 1):
-        fr[fo[1:]] = np.cumsum(fl < LENGTH - l)
-        fr[fo[0]] = 0
-        br[bo[1:]] = np.cumsum(bl < l)
-        br[bo[0]] = 0
+        fr[f.at[1:]] = np.cumsum(f.lcp < LENGTH - l)
+        fr[f.at[0]] = 0
+        br[b.at[1:]] = np.cumsum(b.lcp < l)
+        br[b.at[0]] = 0
         key = fr * n + br
         order = np.argsort(key, kind="stable")
         same = key[order[1:]] == key[order[:-1]]
@@ -157,12 +191,14 @@ class Family:
     def add(self, batch: Level) -> None:
         if not self.levels:
             self._note(batch)
-        for level in self.levels:
-            self._note(batch.merged(level))
+        both = [level.merged(batch) for level in self.levels]
+        for x in both:
+            self._note(x)
         self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
             last = self.levels.pop()
-            self.levels.append(self.levels.pop().merged(last))
+            # The last level and the batch have been merged for the scan.
+            self.levels[-1] = both[-1] if last is batch else self.levels[-1].merged(last)
 
 
 def _scan_bucket(group: pd.DataFrame) -> pd.DataFrame:
@@ -217,15 +253,16 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     occ = occ.withColumn("ca", F.xxhash64("left", "right")).withColumn("cb", F.xxhash64("right", "left", F.lit("b")))
     occ = materialize(occ, "suffix-contexts")
     release(found, twice)
-    counts = occ.groupBy("hash", "ca", "cb").agg(F.sum("copies").alias("n"), F.first(F.octet_length("left")).alias("nl"), F.first(F.octet_length("right")).alias("nr"))
+    # Equal surroundings come together first, on the map side already, so an anchor has no more rows below than it has different ones.
+    counts = occ.groupBy("hash", "ca", "cb").agg(F.sum("copies").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
     counts = materialize(counts, "suffix-counts")
-    whole = counts.filter((F.col("n") > 1) & (F.col("nl") + F.col("nr") >= LENGTH)).select("hash", "ca", "cb", (-F.col("nl")).cast("long").alias("lo"), F.col("nr").cast("long").alias("hi"))
+    nl, nr = F.octet_length("left"), F.octet_length("right")
+    whole = counts.filter((F.col("n") > 1) & (nl + nr >= LENGTH)).select("hash", "ca", "cb", (-nl).cast("long").alias("lo"), nr.cast("long").alias("hi"))
     open_ = counts.groupBy("hash").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).filter("k > 1 and least = 1").select("hash", "k")
     open_ = materialize(open_, "suffix-open")
     total = open_.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
     buckets = max(1, -(-total // GROUP))
-    surround = occ.select("hash", "ca", "cb", "left", "right").join(open_, "hash")
-    surround = surround.groupBy("hash", "ca", "cb", "k").agg(F.first("left").alias("left"), F.first("right").alias("right"))
+    surround = counts.select("hash", "ca", "cb", "left", "right").join(broadcast_if_small(open_), "hash")
     dealt = surround.filter(F.col("k") <= HOT).withColumn("bucket", F.pmod("hash", F.lit(buckets)))
     scanned = dealt.groupBy("bucket").applyInPandas(_scan_bucket, "hash long, ca long, cb long, lo long, hi long")
     parts = [whole, scanned]
@@ -269,7 +306,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     A byte goes if any string of 200 bytes that covers it starts anywhere else
     too, in another document or the same one. Null texts are empty; they and
     texts under 200 bytes keep everything. Rows with the same key, null keys too,
-    are documents of their own, and equal rows repeat each other.
+    are documents of their own, and equal rows repeat each other. Other columns,
+    whatever their names, are ignored; an empty table gives an empty result.
     """
     d = docs.select(F.col(key).alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t"))
     d = d.select("doc_id", *row_key(F.col("doc_id"), F.col("t")), "t")
