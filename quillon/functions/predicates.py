@@ -50,6 +50,113 @@ def all_of(rows: DataFrame, values: DataFrame, test: Callable[[Column], Column])
     return rows.join(v, F.coalesce(~test(F.col("__v")), F.lit(True)), "left_anti")
 
 
+def likely(condition: Column) -> Column:
+    """A hint that a condition mostly holds; the rows are those of the condition."""
+    return F.coalesce(condition, F.lit(False))
+
+
+def unlikely(condition: Column) -> Column:
+    """A hint that a condition rarely holds; the rows are those of the condition."""
+    return F.coalesce(condition, F.lit(False))
+
+
+def compared_with_all(values: DataFrame) -> DataFrame:
+    """One row with what decides an ordered comparison with ANY or ALL values: least, most, n and how many are null."""
+    v = F.col(values.columns[0])
+    return values.agg(F.min(v).alias("least"), F.max(v).alias("most"), F.count(F.lit(1)).alias("n"), F.count_if(v.isNull()).alias("unknown"))
+
+
+def ordered(rows: DataFrame, values: DataFrame, left: Column, op: str, every: bool) -> DataFrame:
+    """Rows with ``left op ANY`` or, with ``every``, ``left op ALL`` of the values, for < <= > >=.
+
+    The values' extremes decide, so one row is sent to the tasks however many there are.
+    """
+    low = (op in ("<", "<=")) == every  # must be under all, or over any
+    bound = F.col("__v.least") if low else F.col("__v.most")
+    test = {"<": left < bound, "<=": left <= bound, ">": left > bound, ">=": left >= bound}[op]
+    one = compared_with_all(values).select(F.struct("*").alias("__v"))
+    known = F.coalesce(test, F.lit(False))
+    hit = (F.col("__v.n") == 0) | (known & (F.col("__v.unknown") == 0)) if every else known
+    return rows.crossJoin(F.broadcast(one)).filter(hit).select(*rows.columns)
+
+
+# Endings taken off a word, the longest that fits first, with what takes their place.
+ENDINGS = {"ational": "ate", "ization": "ize", "fulness": "ful", "ousness": "ous", "iveness": "ive", "ingly": "", "edly": "", "ies": "y", "ing": "", "ed": "", "ly": "", "es": "", "s": ""}
+
+
+def stem(word: Column) -> Column:
+    """A word without a common English ending and then without a last ``e``, if at least three letters are left; a double ``s`` stays."""
+    out = word
+    for ending in sorted(ENDINGS, key=len):
+        fits = F.length(word) >= len(ending) + 3
+        if ending == "s":
+            fits = fits & ~word.endswith("ss")
+        out = F.when(word.endswith(ending) & fits, F.concat(F.substring(word, F.lit(1), F.length(word) - len(ending)), F.lit(ENDINGS[ending]))).otherwise(out)
+    return F.regexp_replace(out, "(?<=...)e$", "")
+
+
+def match_stems(text: Column, query: str) -> Column:
+    """MATCH AGAINST: whether every stemmed word of the query is a stemmed word of the text."""
+    asked = F.transform(F.array(*[F.lit(w) for w in re.findall("[a-z0-9]+", query.lower())]).cast("array<string>"), stem)
+    found = F.transform(F.array_distinct(word_array(text)), stem)
+    return F.size(F.array_except(asked, found)) == 0
+
+
+def ts_query(text: Column, query: str) -> Column:
+    """Whether a text answers a query of words with ``&``, ``|``, ``!``, ``<->`` (next word) and parentheses, by stems."""
+    tokens = re.findall(r"[a-z0-9]+|<->|[&|!()]", query.lower())
+    stems = F.transform(word_array(text), stem)
+    at = 0
+
+    def word(w: str) -> Column:
+        return F.array_contains(stems, stem(F.lit(w)))
+
+    def phrase(ws: list[str]) -> Column:
+        run = F.transform(F.array(*[F.lit(w) for w in ws]), stem)
+        return F.exists(F.filter(F.sequence(F.lit(1), F.greatest(F.size(stems), F.lit(1))), lambda i: i + len(ws) - 1 <= F.size(stems)), lambda i: F.slice(stems, i, F.lit(len(ws))) == run)
+
+    def unit() -> Column:
+        nonlocal at
+        t = tokens[at]
+        at += 1
+        if t == "!":
+            return ~unit()
+        if t == "(":
+            inner = either()
+            at += 1
+            return inner
+        ws = [t]
+        while at + 1 < len(tokens) and tokens[at] == "<->":
+            ws.append(tokens[at + 1])
+            at += 2
+        return phrase(ws) if len(ws) > 1 else word(t)
+
+    def both() -> Column:
+        nonlocal at
+        out = unit()
+        while at < len(tokens) and tokens[at] == "&":
+            at += 1
+            out = out & unit()
+        return out
+
+    def either() -> Column:
+        nonlocal at
+        out = both()
+        while at < len(tokens) and tokens[at] == "|":
+            at += 1
+            out = out | both()
+        return out
+
+    return F.coalesce(either(), F.lit(False))
+
+
+def ts_rank(text: Column, query: str) -> Column:
+    """Share of a text's words that are words of the query, by stems."""
+    asked = F.transform(F.array(*[F.lit(w) for w in re.findall("[a-z0-9]+", query.lower())]), stem)
+    found = F.transform(word_array(text), stem)
+    return F.coalesce(F.try_divide(F.size(F.filter(found, lambda w: F.array_contains(asked, w))).cast("double"), F.size(found)), F.lit(0.0))
+
+
 def word_array(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 

@@ -75,10 +75,12 @@ def julian_day(d: Column) -> Column:
 
 
 def date_modifier(d: Column, *modifiers: str) -> Column:
-    """Date shifts written as ``+N unit``, ``start of month`` or ``start of year``, one after the other."""
+    """Date shifts written as ``+N unit``, ``start of`` day, month or year, or ``weekday N`` (the next such day, Sunday 0, itself if it is one), one after the other."""
     out = d
     for m in modifiers:
-        if m.startswith("start of "):
+        if m.startswith("weekday "):
+            out = (out + F.make_interval(days=F.pmod(F.lit(int(m.split()[1]) + 8) - F.dayofweek(out), F.lit(7)).cast("int"))).cast("timestamp_ntz")
+        elif m.startswith("start of "):
             out = F.date_trunc(m.removeprefix("start of "), out).cast("timestamp_ntz")
         else:
             n, unit = m.split()
@@ -86,18 +88,32 @@ def date_modifier(d: Column, *modifiers: str) -> Column:
     return out
 
 
+SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def date_diff(later: Column, earlier: Column, unit: str = "day") -> Column:
+    """``later - earlier`` in whole units; months, quarters and years count calendar ones."""
+    unit = unit.lower().rstrip("s")
+    if unit in SECONDS:
+        seconds = F.unix_seconds(later.cast("timestamp")) - F.unix_seconds(earlier.cast("timestamp"))
+        return F.floor(seconds / SECONDS[unit]).cast("long")
+    months = (F.year(later) - F.year(earlier)) * 12 + F.month(later) - F.month(earlier)
+    return F.floor(months / {"month": 1, "quarter": 3, "year": 12}[unit]).cast("long")
+
+
 def age(later: Column, earlier: Column) -> Column:
-    """Whole years, months and days between two dates as text, with days borrowed from 30."""
+    """Whole years, months and days between two dates as text, with days borrowed from 30; parts of zero are left out, and no time at all is ``0 days``."""
+
+    def part(n: Column, unit: str) -> Column:
+        return F.when(n != 0, F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(F.abs(n) == 1, "").otherwise("s")))
+
     months = (F.year(later) - F.year(earlier)) * 12 + F.month(later) - F.month(earlier)
     days = F.day(later) - F.day(earlier)
     m = F.when(days < 0, months - 1).otherwise(months)
     d = F.when(days < 0, days + 30).otherwise(days)
-    return F.concat_ws(
-        " ",
-        F.when(F.floor(m / 12) > 0, F.concat(F.floor(m / 12).cast("string"), F.lit(" years"))),
-        F.when(m % 12 > 0, F.concat((m % 12).cast("string"), F.lit(" mons"))),
-        F.when(d > 0, F.concat(d.cast("string"), F.lit(" days"))),
-    )
+    years = F.floor(m / 12)
+    text = F.concat_ws(" ", part(years, "year"), part(m - years * 12, "mon"), part(d, "day"))
+    return F.when(later.isNotNull() & earlier.isNotNull(), F.when(text == "", "0 days").otherwise(text))
 
 
 def array_position_or_null(a: Column, x: Column) -> Column:
@@ -155,6 +171,27 @@ def json_set(c: Column, path: str, value: object) -> Column:
     return _json_editor(path, value, True, True, False)(c)
 
 
+def json_add(c: Column, path: str, by: float) -> Column:
+    """JSON with a number at a path made larger; a missing one counts as 0, and what is no number stays."""
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                at = json.loads(t)
+            except (TypeError, ValueError):
+                return None
+            for s in _steps(path):
+                at = at.get(s) if isinstance(at, dict) else at[s] if isinstance(at, list) and isinstance(s, int) and s < len(at) else None
+            if at is not None and (isinstance(at, bool) or not isinstance(at, (int, float))):
+                return t
+            return _edit(t, path, (at or 0) + by, True, True, False)
+
+        return texts.map(one)
+
+    return run(c)
+
+
 def json_insert(c: Column, path: str, value: object) -> Column:
     return _json_editor(path, value, True, False, False)(c)
 
@@ -167,6 +204,54 @@ def json_remove(c: Column, path: str) -> Column:
     return _json_editor(path, None, False, False, True)(c)
 
 
+def json_type(c: Column, path: str = "$") -> Column:
+    """The type at a path: object, array, text, integer, real, true, false or null; null where nothing is there."""
+    v = F.try_variant_get(F.try_parse_json(c), path, "variant")
+    t = F.schema_of_variant(v)
+    truth = F.try_variant_get(v, "$", "boolean").cast("string")
+    return (
+        F.when(v.isNull(), F.lit(None).cast("string"))
+        .when(t.startswith("OBJECT"), "object")
+        .when(t.startswith("ARRAY"), "array")
+        .when(t == "STRING", "text")
+        .when(t == "BOOLEAN", truth)
+        .when(t == "VOID", "null")
+        .when(t.isin("BIGINT", "INT", "SMALLINT", "TINYINT"), "integer")
+        .otherwise("real")
+    )
+
+
+def json_quote(c: Column) -> Column:
+    """A value as JSON: text in quotes with escapes, null as ``null``."""
+    j = F.to_json(F.array(c), {"ignoreNullFields": "false"})
+    return F.when(c.isNull(), F.lit("null")).otherwise(F.substring(j, F.lit(2), F.length(j) - 2))
+
+
+def contains(doc: object, part: object) -> bool:
+    """Whether a JSON value holds another: all keys of an object, all elements of an array in any order, or the same scalar."""
+    if isinstance(part, dict):
+        return isinstance(doc, dict) and all(k in doc and contains(doc[k], v) for k, v in part.items())
+    if isinstance(part, list):
+        return isinstance(doc, list) and all(any(contains(x, p) for x in doc) for p in part)
+    return type(doc) is type(part) and doc == part
+
+
+def json_contains(part: object):
+    """A column function for ``doc @> part``; malformed text gives null."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> bool | None:
+            try:
+                return contains(json.loads(t), part)
+            except (TypeError, ValueError):
+                return None
+
+        return texts.map(one).astype("object")
+
+    return run
+
+
 def merge_patch(target: object, patch: object) -> object:
     """RFC 7396."""
     if not isinstance(patch, dict):

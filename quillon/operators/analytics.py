@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from quillon.functions.scalars import json_add, json_remove, json_set
+from quillon.operators.dml import unused, with_sequence
+from quillon.operators.recursion import written
+
 # Words that text search passes over.
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on or that the this to was were will with".split()
 
@@ -63,8 +69,8 @@ def nearest(vectors: DataFrame, query: list[float], k: int, measure: str = "cosi
     q = F.array(*[F.lit(float(x)) for x in query])
     score = {"cosine": cosine, "dot": dot, "euclidean": euclidean}[measure](F.col(vec), q)
     d = vectors if where is None else vectors.filter(where)
-    order = F.asc("score") if measure == "euclidean" else F.desc("score")
-    return d.select(key, F.round(score, 6).alias("score")).orderBy(order, key).limit(k)
+    order = F.asc("raw") if measure == "euclidean" else F.desc("raw")
+    return d.select(key, score.alias("raw")).orderBy(order, key).limit(k).select(key, F.round("raw", 6).alias("score"))
 
 
 def matrix_multiply(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -99,14 +105,27 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return d.select(key, F.size("ts").cast("long").alias("doc_len"), F.explode("ts").alias("term")).groupBy(key, "doc_len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tf_idf_search(docs: DataFrame, query: list[str], mode: str = "or", key: str = "doc_id") -> DataFrame:
-    """Documents with any or all query terms, scored by tf / length times ln((N + 1) / (df + 1)) + 1."""
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    hits = postings(docs, key).filter(F.col("term").isin(*query))
-    df_ = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    scored = hits.join(F.broadcast(df_), "term").crossJoin(F.broadcast(n)).groupBy(key).agg(F.sum(F.col("tf") / F.col("doc_len") * idf).alias("score"), F.count(F.lit(1)).alias("found"))
-    return (scored.filter(F.col("found") == len(set(query))) if mode == "and" else scored).select(key, F.round("score", 6).alias("score"))
+def _equal(word: str):
+    return lambda t: t == F.lit(word)
+
+
+def tf_idf_search(docs: DataFrame, query: list[str], mode: str = "or", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Documents with any or all query terms, scored by tf / length times ln((N + 1) / (df + 1)) + 1.
+
+    One pass counts the query's terms in each document as an array; only documents
+    that hold one go on, and only N and the terms' document counts are aggregated.
+    """
+    asked = sorted(set(query))
+    terms = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: ~t.isin(*STOP_WORDS))
+    counted = docs.select(key, terms.alias("ts")).select(key, F.size("ts").alias("len"), F.array(*[F.size(F.filter("ts", _equal(q))) for q in asked]).alias("tf"))
+    hits = written(counted.filter(F.exists("tf", lambda n: n > 0)))
+    dfs = [F.coalesce(F.sum((F.col("tf")[i] > 0).cast("long")), F.lit(0)) for i in range(len(asked))]
+    stats = hits.agg(F.array(*dfs).alias("df")).crossJoin(docs.agg(F.count(F.lit(1)).alias("n")))
+    weight = F.zip_with("tf", "df", lambda tf, df_: tf / F.col("len") * (F.ln((F.col("n") + 1) / (df_ + 1)) + 1))
+    scored = hits.crossJoin(F.broadcast(stats)).withColumn("score", F.aggregate(weight, F.lit(0.0), lambda a, x: a + x))
+    if mode == "and":
+        scored = scored.filter(F.forall("tf", lambda n: n > 0))
+    return scored.select(key, F.round("score", 6).alias("score"))
 
 
 def phrase_search(docs: DataFrame, phrase: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -144,27 +163,124 @@ def minhash_pairs(sets: DataFrame, rows: int = 4) -> DataFrame:
     return pairs.join(side("a"), "id_a").join(side("b"), "id_b").select("id_a", "id_b", signature_similarity(F.col("s_a"), F.col("s_b")).alias("estimate"), exact.alias("exact"))
 
 
+BLOOM_WORD = 32  # bits of a filter that one row holds
+
+
+def bloom_positions(value: Column, bits: int, hashes: int) -> Column:
+    return F.array(*[F.pmod(F.xxhash64(value, F.lit(i)), F.lit(bits)) for i in range(hashes)])
+
+
+def bloom_filter(df: DataFrame, column: str, n: int = 1000, fp: float = 0.01) -> DataFrame:
+    """A Bloom filter for ``n`` values with a rate ``fp`` of false hits: word, mask, bits, hashes. Filters of one size merge by OR of their words."""
+    bits = max(BLOOM_WORD, math.ceil(-n * math.log(fp) / math.log(2) ** 2))
+    hashes = max(1, round(bits / n * math.log(2)))
+    at = df.filter(F.col(column).isNotNull()).select(F.explode(bloom_positions(F.col(column), bits, hashes)).alias("p"))
+    words = at.groupBy(F.floor(F.col("p") / BLOOM_WORD).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("p", F.lit(BLOOM_WORD)).cast("int"))).alias("mask"))
+    return words.withColumn("bits", F.lit(bits)).withColumn("hashes", F.lit(hashes))
+
+
+def bloom_merge(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.unionByName(b).groupBy("word", "bits", "hashes").agg(F.bit_or("mask").alias("mask")).select("word", "mask", "bits", "hashes")
+
+
+def might_contain(df: DataFrame, column: str, bloom: DataFrame) -> DataFrame:
+    """The rows whose value may be in a filter; none that is in it is lost. The filter, of a size fixed when it was made, goes to the tasks as one row."""
+    first = bloom.select("bits", "hashes").first()
+    if first is None:
+        return df.limit(0)
+    bits, hashes = first
+    whole = bloom.agg(F.map_from_entries(F.collect_list(F.struct("word", "mask"))).alias("__bloom"))
+    test = F.forall(bloom_positions(F.col(column), bits, hashes), lambda p: F.coalesce(F.call_function("shiftright", F.col("__bloom")[F.floor(p / BLOOM_WORD)], F.pmod(p, F.lit(BLOOM_WORD)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
+    return df.crossJoin(F.broadcast(whole)).filter(F.col(column).isNotNull() & test).select(*df.columns)
+
+
+def count_min(df: DataFrame, column: str, width: int = 1024, depth: int = 5) -> DataFrame:
+    """A Count-Min sketch: row, slot, n. Sketches of one size merge by adding."""
+    at = df.filter(F.col(column).isNotNull()).select(F.posexplode(F.array(*[F.pmod(F.xxhash64(column, F.lit(i)), F.lit(width)) for i in range(depth)])).alias("row", "slot"))
+    return at.groupBy("row", "slot").agg(F.count(F.lit(1)).alias("n"))
+
+
+def count_min_estimate(sketch: DataFrame, values: DataFrame, column: str, width: int = 1024, depth: int = 5) -> DataFrame:
+    """value, estimate: how often each value was seen at most; never too small."""
+    at = values.select(F.col(column).alias("value")).distinct().select("value", F.posexplode(F.array(*[F.pmod(F.xxhash64("value", F.lit(i)), F.lit(width)) for i in range(depth)])).alias("row", "slot"))
+    return at.join(sketch, ["row", "slot"], "left").groupBy("value").agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
+
+
+def equi_height_histogram(df: DataFrame, column: str, buckets: int, accuracy: int = 10000) -> DataFrame:
+    """bucket, lo, hi, n: bounds at quantiles, so buckets hold about as many rows; equal values are in one bucket."""
+    cuts = df.agg(F.percentile_approx(column, [i / buckets for i in range(1, buckets)], accuracy).alias("cuts"))
+    placed = df.filter(F.col(column).isNotNull()).crossJoin(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(column))))
+    return placed.groupBy("bucket").agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
+def range_estimate(histogram: DataFrame, low: float, high: float) -> DataFrame:
+    """estimate: about how many values lie in a range, if values are spread evenly inside each bucket."""
+    width = (F.col("hi") - F.col("lo")).cast("double")
+    inside = F.least(F.col("hi"), F.lit(high)) - F.greatest(F.col("lo"), F.lit(low))
+    share = F.when(inside < 0, 0.0).when(width == 0, 1.0).otherwise(inside / width)
+    return histogram.agg(F.coalesce(F.sum(F.col("n") * share), F.lit(0.0)).alias("estimate"))
+
+
+def matrix_transpose(m: DataFrame) -> DataFrame:
+    return m.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+
+
+def matrix_trace(m: DataFrame) -> DataFrame:
+    return m.filter("i = j").agg(F.sum("v").alias("trace"))
+
+
+def stabbed(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str, width: int) -> DataFrame:
+    """Pairs of a point and an interval low <= point <= high, whole numbers: an equi-join on slices of ``width``, so no point meets intervals elsewhere."""
+    (slice_,) = unused([*points.columns, *intervals.columns], "slice")
+    spread = intervals.withColumn(slice_, F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    return points.withColumn(slice_, F.floor(F.col(point) / width)).join(spread, slice_).filter(F.col(point).between(F.col(low), F.col(high))).drop(slice_)
+
+
 def equi_width_histogram(df: DataFrame, column: str, low: float, high: float, buckets: int) -> DataFrame:
     b = F.width_bucket(F.col(column), F.lit(low), F.lit(high), F.lit(buckets).cast("long"))
     return df.groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
 
 
 # documents
-def doc_find(df: DataFrame, column: str, query: dict) -> DataFrame:
-    """Documents that a query of dotted paths with $eq $ne $gt $gte $lt $lte $in $exists matches."""
-    out = df
+def doc_test(column: str, query: dict) -> Column:
+    """Whether a JSON document answers a query of dotted paths with $eq $ne $gt $gte $lt $lte $in $exists.
+
+    Numbers compare as numbers, all else as text, so ISO dates are in order. A
+    missing field answers $ne and $exists: false only.
+    """
+    out = F.lit(True)
     for path, cond in query.items():
         v = F.get_json_object(column, f"$.{path}")
         for op, x in (cond if isinstance(cond, dict) else {"$eq": cond}).items():
-            c = v.cast("double") if isinstance(x, (int, float)) and not isinstance(x, bool) else v
+            number = isinstance(x, (int, float)) and not isinstance(x, bool)
+            c = F.try_variant_get(F.try_parse_json(column), f"$.{path}", "double") if number else v
+            x = str(x).lower() if isinstance(x, bool) and op != "$exists" else x
             test = {
-                "$eq": lambda: c == x, "$ne": lambda: c != x, "$gt": lambda: c > x, "$gte": lambda: c >= x, "$lt": lambda: c < x, "$lte": lambda: c <= x,
+                "$eq": lambda: c == x, "$ne": lambda: ~F.coalesce(c == x, F.lit(False)), "$gt": lambda: c > x, "$gte": lambda: c >= x, "$lt": lambda: c < x, "$lte": lambda: c <= x,
                 "$in": lambda: v.isin(*[str(y) for y in x]), "$exists": lambda: v.isNotNull() if x else v.isNull(),
             }[op]()
-            out = out.filter(test)
+            out = out & F.coalesce(test, F.lit(False))
     return out
 
 
+def doc_find(df: DataFrame, column: str, query: dict) -> DataFrame:
+    """Documents that a query matches; see :func:`doc_test`."""
+    return df.filter(doc_test(column, query))
+
+
+def doc_update(df: DataFrame, column: str, query: dict, change: dict) -> DataFrame:
+    """Documents that the query matches with $set, $inc and $unset of dotted paths; all others as they are."""
+    match = doc_test(column, query)
+    out = F.col(column)
+    for path, value in change.get("$set", {}).items():
+        out = json_set(out, f"$.{path}", value)
+    for path, by in change.get("$inc", {}).items():
+        out = json_add(out, f"$.{path}", by)
+    for path in change.get("$unset", {}):
+        out = json_remove(out, f"$.{path}")
+    return df.withColumn(column, F.when(F.coalesce(match, F.lit(False)), out).otherwise(F.col(column)))
+
+
 def doc_aggregate(df: DataFrame, column: str, pipeline: list[dict]) -> DataFrame:
     """$match, $group with $sum, $count and $avg, $sort and $limit over JSON documents."""
     field = lambda e: F.get_json_object(column, f"$.{e[1:]}") if isinstance(e, str) and e.startswith("$") else F.lit(e)
@@ -194,3 +310,39 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     both = h(before, "b").join(h(after, "a"), key, "full")
     op = F.when(F.col("b").isNull(), "insert").when(F.col("a").isNull(), "delete").when(F.col("a") != F.col("b"), "update")
     return both.select(key, op.alias("op")).filter(F.col("op").isNotNull())
+
+
+class ChangeLog:
+    """A log of a table's changes with running numbers: capture versions, read from any number on."""
+
+    def __init__(self, key: str):
+        self.key, self.last, self.log = key, 0, None
+
+    def capture(self, before: DataFrame, after: DataFrame) -> None:
+        """Appends the difference of two versions, in order of the key."""
+        diff = with_sequence(snapshot_diff(before, after, self.key), [self.key], "seq", self.last + 1)
+        self.log = written(diff if self.log is None else self.log.unionByName(diff))
+        self.last = self.log.agg(F.coalesce(F.max("seq"), F.lit(self.last))).first()[0]
+
+    def changes(self, after: int = 0) -> DataFrame:
+        """seq, key and op of all changes with a number above ``after``."""
+        return self.log.filter(F.col("seq") > after)
+
+
+class ResultCache:
+    """Stored results of aggregations by a name for the query; a table's change forgets those that read it."""
+
+    def __init__(self, most: int = 128):
+        self.most, self.kept, self.hits = most, {}, 0
+
+    def get(self, name: str, tables: tuple[str, ...], query) -> DataFrame:
+        if name in self.kept:
+            self.hits += 1
+            return self.kept[name][1]
+        if len(self.kept) >= self.most:
+            self.kept.pop(next(iter(self.kept)))
+        self.kept[name] = (tables, written(query()))
+        return self.kept[name][1]
+
+    def changed(self, table: str) -> None:
+        self.kept = {k: v for k, v in self.kept.items() if table not in v[0]}

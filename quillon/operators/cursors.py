@@ -27,3 +27,12 @@ def page_by_offset(df: DataFrame, order: list[Column], page: int, size: int) ->
 def page_by_key(df: DataFrame, key: str, after: object, size: int) -> DataFrame:
     """The next rows behind a key; the range condition reaches the scan, so far pages cost no more than near ones."""
     return (df if after is None else df.filter(df[key] > after)).orderBy(key).limit(size)
+
+
+def limited(rows: DataFrame, n: DataFrame | int | None, offset: int = 0) -> DataFrame:
+    """LIMIT by a number, a query of one number, or ALL (None), after an offset; a negative offset is 0."""
+    if isinstance(n, DataFrame):
+        first = n.first()
+        n = None if first is None else first[0]
+    out = rows.offset(max(0, offset)) if offset > 0 else rows
+    return out if n is None else out.limit(max(0, int(n)))

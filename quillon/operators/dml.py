@@ -11,28 +11,73 @@ from pyspark.sql.window import Window as W
 from quillon.operators.scans import shared_dir
 
 
-def upsert(target: DataFrame, source: DataFrame, key: str, update: dict[str, Column] | None = None) -> DataFrame:
+def first_by_key(source: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """The first row of each key by ``order`` (default: all columns), and every row without a key."""
+    by = W.partitionBy(key).orderBy(*(order or source.columns))
+    (mark,) = unused(source.columns, "r")
+    return source.withColumn(mark, F.row_number().over(by)).filter((F.col(mark) == 1) | F.col(key).isNull()).drop(mark)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that are columns already."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def insert_values(target: DataFrame, rows: list[dict], defaults: dict[str, Column] | None = None) -> DataFrame:
+    """INSERT .. VALUES: rows by column name; a column that a row leaves out takes its default, or null."""
+    defaults = defaults or {}
+    parts = []
+    for row in rows:
+        unknown = set(row) - set(target.columns)
+        if unknown:
+            raise ValueError(f"no such columns: {sorted(unknown)}")
+        value = lambda c, row=row: (row[c] if isinstance(row[c], Column) else F.lit(row[c])) if c in row else defaults.get(c, F.lit(None))
+        parts.append(F.struct(*[value(c).cast(target.schema[c].dataType).alias(c) for c in target.columns]))
+    if not parts:
+        return target.limit(0)
+    return target.sparkSession.range(1).select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+
+
+def upsert(target: DataFrame, source: DataFrame, key: str, update: dict[str, Column] | None = None, order: list[str] | None = None) -> DataFrame:
     """INSERT .. ON CONFLICT: DO NOTHING without ``update``, else DO UPDATE with columns of target (t) and source (excluded).
 
-    Of source rows with equal keys one counts. A null key conflicts with nothing.
+    Of source rows with equal keys the first by ``order`` (default: all columns)
+    counts. A null key conflicts with nothing, so every such row is inserted.
     """
-    s = source.dropDuplicates([key])
-    t, x = target.alias("t"), s.alias("excluded")
-    fresh = source.join(target.select(key), key, "left_anti").dropDuplicates([key]).select(*target.columns)
+    s = first_by_key(source, key, order)
+    new = s.join(target.select(key), key, "left_anti").select(*target.columns)
     if not update:
-        return target.unionByName(fresh)
-    joined = t.join(x, F.col(f"t.{key}") == F.col(f"excluded.{key}"), "left")
-    hit = F.col(f"excluded.{key}").isNotNull()
-    cols = [F.when(hit, update[c]).otherwise(F.col(f"t.{c}")).alias(c) if c in update else F.col(f"t.{c}").alias(c) for c in target.columns]
-    return joined.select(*cols).unionByName(fresh)
+        return target.unionByName(new)
+    return update_from(target, s, key, update, order, "excluded").unionByName(new)
 
 
-def update_from(target: DataFrame, source: DataFrame, on: str, sets: dict[str, Column], order: str) -> DataFrame:
+def update_where(target: DataFrame, sets: dict[str, Column], where: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """UPDATE .. SET .. WHERE .. RETURNING *: the table afterwards, and the changed rows. A condition that is null changes nothing."""
+    hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+    changed = target.filter(hit).select(*[sets[c].alias(c) if c in sets else F.col(c) for c in target.columns])
+    after = target.select(*[F.when(hit, sets[c]).otherwise(F.col(c)).alias(c) if c in sets else F.col(c) for c in target.columns])
+    return after, changed
+
+
+def delete_where(target: DataFrame, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """DELETE .. WHERE .. RETURNING *: the table afterwards, and the rows that went. A condition that is null deletes nothing."""
+    hit = F.coalesce(where, F.lit(False)) if where is not None else F.lit(True)
+    return target.filter(~hit), target.filter(hit)
+
+
+def update_from(target: DataFrame, source: DataFrame, on: str, sets: dict[str, Column], order: str | list[str] | None = None, name: str = "s") -> DataFrame:
     """UPDATE .. FROM: the first source row by ``order`` wins; rows without one stay."""
-    first = source.withColumn("__r", F.row_number().over(W.partitionBy(on).orderBy(order))).filter("__r = 1").drop("__r")
-    j = target.alias("t").join(first.alias("s"), F.col(f"t.{on}") == F.col(f"s.{on}"), "left")
-    hit = F.col(f"s.{on}").isNotNull()
-    return j.select(*[F.when(hit, sets[c]).otherwise(F.col(f"t.{c}")).alias(c) if c in sets else F.col(f"t.{c}").alias(c) for c in target.columns])
+    (mark,) = unused([*target.columns, *source.columns], "hit")
+    order = [order] if isinstance(order, str) else order
+    first = first_by_key(source.filter(F.col(on).isNotNull()), on, order).withColumn(mark, F.lit(True))
+    j = target.alias("t").join(first.alias(name), F.col(f"t.{on}") == F.col(f"{name}.{on}"), "left")
+    return j.select(*[F.when(F.col(mark), sets[c]).otherwise(F.col(f"t.{c}")).alias(c) if c in sets else F.col(f"t.{c}").alias(c) for c in target.columns])
 
 
 def delete_using(target: DataFrame, source: DataFrame, on: str) -> DataFrame:
@@ -40,14 +85,19 @@ def delete_using(target: DataFrame, source: DataFrame, on: str) -> DataFrame:
     return target.join(source.select(on), on, "left_anti")
 
 
-def merge(target: DataFrame, source: DataFrame, key: str, matched: dict[str, Column], insert: bool = True) -> DataFrame:
-    """MERGE with WHEN MATCHED UPDATE and WHEN NOT MATCHED INSERT, by one full join; columns are those of t and s."""
-    j = target.alias("t").join(source.alias("s"), F.col(f"t.{key}") == F.col(f"s.{key}"), "full" if insert else "left")
-    in_t, in_s = F.col(f"t.{key}").isNotNull(), F.col(f"s.{key}").isNotNull()
+def merge(target: DataFrame, source: DataFrame, key: str, matched: dict[str, Column], insert: bool = True, order: list[str] | None = None) -> DataFrame:
+    """MERGE with WHEN MATCHED UPDATE and WHEN NOT MATCHED INSERT, by one full join; columns are those of t and s.
+
+    Of source rows with equal keys the first by ``order`` (default: all columns)
+    counts. Null keys match nothing: such target rows stay, such source rows are inserted.
+    """
+    in_t, in_s = unused([*target.columns, *source.columns], "in_t", "in_s")
+    t, s = target.withColumn(in_t, F.lit(True)), first_by_key(source, key, order).withColumn(in_s, F.lit(True))
+    j = t.alias("t").join(s.alias("s"), F.col(f"t.{key}") == F.col(f"s.{key}"), "full" if insert else "left")
     cols = []
     for c in target.columns:
         both = matched.get(c, F.col(f"t.{c}"))
-        cols.append(F.when(in_t & in_s, both).when(in_t, F.col(f"t.{c}")).otherwise(F.col(f"s.{c}")).alias(c))
+        cols.append(F.when(F.col(in_t) & F.col(in_s), both).when(F.col(in_t), F.col(f"t.{c}")).otherwise(F.col(f"s.{c}")).alias(c))
     return j.select(*cols)
 
 
@@ -65,6 +115,22 @@ def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
     return child.filter(F.col(fk).isNotNull()).join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
 
 
+class GeneratedColumns:
+    """Columns computed from others when rows are stored; a row can't bring a value of its own."""
+
+    def __init__(self, columns: dict[str, Column]):
+        self.columns = columns
+
+    def stored(self, rows: DataFrame) -> DataFrame:
+        given = set(rows.columns) & set(self.columns)
+        if given:
+            raise ValueError(f"generated columns can't be given: {sorted(given)}")
+        path = shared_dir(rows.sparkSession)
+        made = rows.withColumns(self.columns)
+        made.write.parquet(path)
+        return rows.sparkSession.read.schema(made.schema).parquet(path)
+
+
 class MaterializedView:
     """A stored query result with a note of whether its tables have changed since."""
 

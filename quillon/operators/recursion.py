@@ -66,7 +66,7 @@ def topological_levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         out = ready if out is None else written(out.unionByName(ready))
         nodes = written(nodes.join(ready.select("node"), "node", "left_anti"))
         left = written(left.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
-    return out if out is not None else nodes.withColumn("level", F.lit(0))
+    return out if out is not None else nodes.limit(0).withColumn("level", F.lit(0))
 
 
 def min_label_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
@@ -83,3 +83,36 @@ def min_label_components(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
             return new
         label = new
     return label
+
+
+def has_cycle(edges: DataFrame) -> bool:
+    """Whether any cycle exists, of any length: nodes are left when all that hang on no cycle have been taken off in turn."""
+    nodes = edges.select("src").union(edges.select("dst")).distinct()
+    return nodes.join(topological_levels(edges).select(F.col("node").alias("src")), "src", "left_anti").limit(1).count() > 0
+
+
+def shortest_routes(edges: DataFrame, source: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """node, cost, path: a least-cost path from the source nodes, as an array of nodes; of equal costs the path with fewer nodes, then the least one. Weights are over zero."""
+    best = frontier = written(source.toDF("node").distinct().select("node", F.lit(0.0).alias("cost"), F.array("node").alias("path")))
+    rank = F.struct("cost", F.size("path").alias("n"), "path")
+    for _ in range(max_rounds):
+        step = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"), F.array_append("path", F.col("dst")).alias("path"))
+        reach = step.groupBy("node").agg(F.min(rank).alias("new"))
+        old = best.select("node", rank.alias("old"))
+        frontier = written(reach.join(old, "node", "left").filter(F.col("old").isNull() | (F.col("new") < F.col("old"))).select("node", "new.cost", "new.path"))
+        if frontier.limit(1).count() == 0:
+            break
+        best = written(best.unionByName(frontier).groupBy("node").agg(F.min(rank).alias("b")).select("node", "b.cost", "b.path"))
+    return best
+
+
+def depth_first(edges: DataFrame, source: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """node, path: every path from the source nodes that visits no node twice; ordered by path they stand in depth-first order."""
+    seen = frontier = written(source.toDF("node").distinct().select("node", F.array("node").alias("path")))
+    for _ in range(max_depth):
+        step = frontier.join(edges.select("src", "dst").distinct(), F.col("node") == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
+        frontier = written(step.select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path")))
+        if frontier.limit(1).count() == 0:
+            break
+        seen = written(seen.unionByName(frontier))
+    return seen

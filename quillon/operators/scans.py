@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,14 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that all executors reach: the checkpoint folder, or a local one where none is set."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """A folder that all executors reach: one in the checkpoint folder. Only on a local master without one, as in tests, a temporary folder is made."""
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quillon-")
-        spark.sparkContext.setCheckpointDir(base)
+        sc.setCheckpointDir(base)
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -40,32 +44,57 @@ def sample_rows(df: DataFrame, percent: float, seed: int | None = None) -> DataF
     return df.sample(fraction=percent / 100, seed=seed)
 
 
-def json_each(df: DataFrame, column: str) -> DataFrame:
-    """One row for each member of a JSON object, with ``json_key`` and ``json_value`` as text."""
-    return df.select("*", F.explode(F.from_json(column, "map<string,string>")).alias("json_key", "json_value"))
+NODE = StructType([StructField(n, StringType()) for n in ("key", "value", "type", "atom")] + [StructField(n, IntegerType()) for n in ("id", "parent")] + [StructField(n, StringType()) for n in ("fullkey", "path")])
 
 
-@F.udtf(returnType=StructType([StructField(n, StringType()) for n in ("fullkey", "key", "value", "type")] + [StructField("depth", IntegerType())]))
+def json_nodes(text: str | None, start: str, deep: bool):
+    """key, value, type, atom, id, parent, fullkey and path of the nodes below a path, depth first; malformed text and a missing path give none.
+
+    With ``deep`` the start itself and everything below, else its members, or itself if
+    it has none. Containers have their JSON as value and no atom. Numbers count
+    nodes from 0 in document order.
+    """
+
+    def kind(v: object) -> str:
+        return "null" if v is None else ("true" if v else "false") if isinstance(v, bool) else {int: "integer", float: "real", str: "text", list: "array", dict: "object"}[type(v)]
+
+    try:
+        at = json.loads(text)
+        for step in re.findall(r"\.([^.\[]+)|\[(\d+)\]", start):
+            at = at[step[0]] if step[0] else at[int(step[1])]
+    except (TypeError, ValueError, KeyError, IndexError):
+        return
+    number, todo = 0, [(None, at, None, start, None, 0)]
+    while todo:
+        key, v, parent, full, path, depth = todo.pop()
+        inner = isinstance(v, (dict, list))
+        if deep or depth == 1 or depth == 0 and not inner:
+            atom = None if inner or v is None else v if isinstance(v, str) else json.dumps(v)
+            yield key, json.dumps(v, separators=(",", ":")) if inner else atom, kind(v), atom, number, parent if deep else None, full, path or start
+        me, number = number, number + 1
+        if inner and (deep or depth == 0):
+            items = v.items() if isinstance(v, dict) else enumerate(v)
+            below = [(str(k), x, me, f"{full}[{k}]" if isinstance(v, list) else f"{full}.{k}", full, depth + 1) for k, x in items]
+            todo += reversed(below)
+
+
+@F.udtf(returnType=NODE)
 class JsonTree:
-    """Every node of a JSON text, depth first; malformed text gives no row."""
-
-    def eval(self, text: str):
-        def name(v: object) -> str:
-            return "null" if v is None else {bool: "boolean", int: "integer", float: "real", str: "text", list: "array", dict: "object"}[type(v)]
-
-        try:
-            todo = [("$", None, json.loads(text), 0)]
-        except (TypeError, ValueError):
-            return
-        while todo:
-            path, key, v, depth = todo.pop()
-            yield path, key, None if isinstance(v, (dict, list)) else json.dumps(v) if not isinstance(v, str) else v, name(v), depth
-            if isinstance(v, dict):
-                todo += [(f"{path}.{k}", k, x, depth + 1) for k, x in reversed(list(v.items()))]
-            elif isinstance(v, list):
-                todo += [(f"{path}[{i}]", str(i), x, depth + 1) for i, x in reversed(list(enumerate(v)))]
-
-
-def json_tree(df: DataFrame, column: str) -> DataFrame:
-    """The rows with every node of their JSON column."""
-    return df.lateralJoin(JsonTree(F.col(column).outer()))
+    def eval(self, text: str, start: str):
+        yield from json_nodes(text, start, True)
+
+
+@F.udtf(returnType=NODE)
+class JsonEach:
+    def eval(self, text: str, start: str):
+        yield from json_nodes(text, start, False)
+
+
+def json_each(df: DataFrame, column: str, path: str = "$") -> DataFrame:
+    """The rows with each member of the object or array at a path of their JSON column; see :func:`json_nodes`."""
+    return df.lateralJoin(JsonEach(F.col(column).outer(), F.lit(path)))
+
+
+def json_tree(df: DataFrame, column: str, path: str = "$") -> DataFrame:
+    """The rows with every node of their JSON column from a path on; see :func:`json_nodes`."""
+    return df.lateralJoin(JsonTree(F.col(column).outer(), F.lit(path)))

@@ -27,13 +27,13 @@ def exclude_current_row(df: DataFrame, partition: list[str], order: list[str], s
     return df.withColumn(out, F.when(n > 0, F.sum(value).over(w) - F.coalesce(F.col(value), F.lit(0))))
 
 
-def exclude_peers(df: DataFrame, partition: list[str], order: str, tie: str, start: int, end: int, value: str, out: str, keep_self: bool) -> DataFrame:
-    """Count and minimum over a ROWS frame without the row's peers; ``keep_self`` is EXCLUDE TIES, else EXCLUDE GROUP.
+def exclude_peers(df: DataFrame, partition: list[str], order: str, tie: str, start: int, end: int, value: str, out: str, keep_self: bool, frame: str = "rows") -> DataFrame:
+    """Count and minimum over a ROWS or RANGE frame without the row's peers; ``keep_self`` is EXCLUDE TIES, else EXCLUDE GROUP.
 
     The frame is gathered as an array, so its memory follows the frame's size;
     frames must be bounded. ``tie`` orders rows inside a peer group.
     """
-    w = W.partitionBy(*partition).orderBy(order, tie).rowsBetween(start, end)
+    w = W.partitionBy(*partition).orderBy(order).rangeBetween(start, end) if frame == "range" else W.partitionBy(*partition).orderBy(order, tie).rowsBetween(start, end)
     gathered = df.withColumn("__a", F.collect_list(F.struct(F.col(order).alias("p"), F.col(tie).alias("t"), F.col(value).alias("v"))).over(w))
     own = (lambda x: x["t"] == F.col(tie)) if keep_self else (lambda x: F.lit(False))
     kept = F.filter("__a", lambda x: (x["p"] != F.col(order)) | own(x))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators.recursion import bfs_levels, min_label_components, recursive_union, shortest_paths, topological_levels
+from quillon.operators.dml import with_sequence
+from quillon.operators.recursion import bfs_levels, depth_first, has_cycle, min_label_components, recursive_union, shortest_paths, shortest_routes, topological_levels
 from quillon.plans.registry import frame, sql
 from quillon.session import table
 
@@ -66,7 +67,34 @@ def graph_components(spark: SparkSession, sf: str) -> DataFrame:
     return min_label_components(n.select(F.col("n_nationkey").cast("long").alias("src"), ((F.col("n_nationkey") * 6) % 24).cast("long").alias("dst")))
 
 
+_ROUND = "SELECT CAST(n_nationkey AS BIGINT) AS src, CAST(CASE WHEN n_nationkey % 5 = 4 THEN n_nationkey - 4 ELSE n_nationkey + 1 END AS BIGINT) AS dst FROM nation WHERE n_nationkey < {}"
+_HAS = "WITH RECURSIVE e AS ({0}), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT {1} AS n, count(*) > 0 AS has_cycle FROM r WHERE a = b"
+
+
+@frame("graph_cycle_check", f"{_HAS.format(_ROUND.format(15), 15)} UNION ALL SELECT * FROM ({_HAS.format(_ROUND.format(4), 4)})")
+def graph_cycle_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Cycles of five nodes, and a chain that has none."""
+    table(spark, sf, "nation").createOrReplaceTempView("nation")
+    return spark.createDataFrame([(n, has_cycle(spark.sql(_ROUND.format(n)))) for n in (15, 4)], "n int, has_cycle boolean")
+
+
+@frame("graph_shortest_path", f"WITH RECURSIVE e AS ({_EDGES}), r(node, cost, path) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS DOUBLE), [CAST(1 AS BIGINT)] UNION ALL SELECT e.dst, cost + weight, list_append(path, e.dst) FROM r JOIN e ON e.src = r.node WHERE NOT list_contains(path, e.dst)), w AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY cost, len(path), path) AS k FROM r) SELECT node, cost, array_to_string(path, '>') AS path FROM w WHERE k = 1")
+def graph_shortest_path(spark: SparkSession, sf: str) -> DataFrame:
+    return shortest_routes(edges(spark, sf), spark.range(1, 2)).select("node", "cost", F.array_join("path", ">").alias("path"))
+
+
+_TREE = "SELECT CAST(n_nationkey AS BIGINT) AS src, CAST(n_nationkey * 2 + k AS BIGINT) AS dst FROM nation, (VALUES (1), (2)) v(k) WHERE n_nationkey < 9"
+
+
+@frame("graph_dfs", f"WITH RECURSIVE e AS ({_TREE}), r(node, path) AS (SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)] UNION ALL SELECT e.dst, list_append(path, e.dst) FROM r JOIN e ON e.src = r.node WHERE NOT list_contains(path, e.dst)) SELECT node, row_number() OVER (ORDER BY path) AS visit FROM r")
+def graph_dfs(spark: SparkSession, sf: str) -> DataFrame:
+    table(spark, sf, "nation").createOrReplaceTempView("nation")
+    paths = depth_first(spark.sql(_TREE), spark.range(1))
+    return with_sequence(paths.withColumn("key", F.transform("path", lambda x: x)), ["key"], "visit").select("node", "visit")
+
+
 sql(
-    "graph_cycle_check",
-    f"SELECT count(*) > 0 AS has_cycle FROM (SELECT a.src FROM ({_EDGES}) a JOIN ({_EDGES}) b ON a.dst = b.src WHERE b.dst = a.src) t",
+    "cte_search_depth",
+    "WITH RECURSIVE t(n, path) AS (SELECT CAST(1 AS BIGINT), array(CAST(1 AS BIGINT)) UNION ALL SELECT c.k + t.n * 2, array_append(t.path, c.k + t.n * 2) FROM t JOIN (SELECT CAST(0 AS BIGINT) AS k UNION ALL SELECT CAST(1 AS BIGINT)) c ON true WHERE t.n < 16) SELECT n, array_join(path, '.') AS path FROM t ORDER BY t.path",
+    "WITH RECURSIVE t(n, path) AS (SELECT CAST(1 AS BIGINT), [CAST(1 AS BIGINT)] UNION ALL SELECT c.k + t.n * 2, list_append(t.path, c.k + t.n * 2) FROM t JOIN (SELECT CAST(0 AS BIGINT) AS k UNION ALL SELECT CAST(1 AS BIGINT)) c ON true WHERE t.n < 16) SELECT n, array_to_string(path, '.') AS path FROM t ORDER BY t.path",
 )

@@ -13,10 +13,11 @@ sql("join_inner_hash", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o
 sql("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 250000) o ON c_custkey = o_custkey")
 sql("join_right", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM orders WHERE o_totalprice > 250000) o RIGHT JOIN customer ON c_custkey = o_custkey")
 sql("join_full", "SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_nationkey < 10) c FULL OUTER JOIN (SELECT * FROM supplier WHERE s_nationkey > 5) s ON c_nationkey = s_nationkey")
-sql("join_null_keys", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM (SELECT p_partkey, nullif(p_size, 5) AS k FROM part WHERE p_partkey < 60) a LEFT JOIN (SELECT p_partkey, nullif(p_size, 5) AS k FROM part WHERE p_partkey < 60) b ON a.k = b.k AND a.p_partkey < b.p_partkey")
+sql("join_null_keys", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM (SELECT p_partkey, nullif(p_size, 5) AS k FROM part ) a LEFT JOIN (SELECT p_partkey, nullif(p_size, 5) AS k FROM part ) b ON a.k = b.k AND a.p_partkey < b.p_partkey")
 sql("join_merge_hint", "SELECT /*+ MERGE(o) */ c_custkey, count(*) AS n FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c_custkey")
 sql("join_broadcast_hint", "SELECT /*+ BROADCAST(n) */ c_custkey, n_name FROM customer JOIN nation n ON c_nationkey = n_nationkey")
-sql("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
+sql("join_theta", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_nationkey + b.n_regionkey < b.n_nationkey")
+sql("join_outer_apply", "SELECT n_nationkey, x.c_custkey, x.c_acctbal FROM nation LEFT JOIN LATERAL (SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9500 ORDER BY c_acctbal DESC, c_custkey LIMIT 2) x ON true")
 sql("join_cross", "SELECT r_name, s_suppkey FROM region CROSS JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 4) s")
 sql("join_comma", "SELECT r_name, n_name FROM region, nation WHERE r_regionkey = n_regionkey")
 sql("join_natural", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation) x NATURAL JOIN (SELECT s_nationkey AS k, s_name AS b FROM supplier) y")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import scalars as S
 from quillon.functions import types as T
+from quillon.functions.predicates import likely, unlikely
 from quillon.operators.cursors import Cursor, page_by_key, page_by_offset
 from quillon.operators.scans import shared_dir
 from quillon.plans.registry import frame, sql
@@ -91,8 +93,18 @@ def type_range(spark: SparkSession, sf: str) -> DataFrame:
 
 sql("fn_date_part", "SELECT event_id, CAST(date_part('month', ts) AS BIGINT) AS m FROM events", "SELECT event_id, date_part('month', ts) AS m FROM events")
 sql("fn_json_minify", "SELECT to_json(parse_json('{ \"a\" : [1, 2] }')) AS j", "SELECT CAST(json('{ \"a\" : [1, 2] }') AS VARCHAR) AS j")
-sql("fn_json_quote", "SELECT to_json(to_variant_object(named_struct('v', n_name))) AS j FROM nation", "SELECT CAST(json_object('v', n_name) AS VARCHAR) AS j FROM nation")
-sql("fn_likely", "SELECT p_partkey FROM part WHERE coalesce(p_size > 40, false)")
+
+
+@frame("fn_json_quote", "SELECT doc_id, CAST(to_json(source || '\"\\' || chr(10)) AS VARCHAR) AS j FROM documents")
+def fn_json_quote(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", S.json_quote(F.concat("source", F.lit('"\\\n'))).alias("j"))
+
+
+@frame("fn_likely", "SELECT p_partkey FROM part WHERE p_size > 40 AND p_retailprice < 1500")
+def fn_likely(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").filter(unlikely(F.col("p_size") > 40) & likely(F.col("p_retailprice") < 1500)).select("p_partkey")
+
+
 sql("fn_json_nested_path", "SELECT get_json_object('{\"a\":[{\"b\":1},{\"b\":2}]}', '$.a[1].b') AS x", "SELECT json_extract_string('{\"a\":[{\"b\":1},{\"b\":2}]}', '$.a[1].b') AS x")
 sql("agg_first_last_by", "SELECT o_custkey, min_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS first_order, max_by(o_orderkey, struct(o_orderdate, o_orderkey)) AS last_order FROM orders GROUP BY o_custkey", "SELECT o_custkey, arg_min(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS first_order, arg_max(o_orderkey, {'d': o_orderdate, 'k': o_orderkey}) AS last_order FROM orders GROUP BY o_custkey")
 sql("agg_ordered_list", "SELECT o_custkey, array_join(transform(array_sort(collect_list(struct(o_orderdate, o_orderkey))), x -> x.o_orderkey), ',') AS ks FROM orders GROUP BY o_custkey", "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderdate, o_orderkey) AS ks FROM orders GROUP BY o_custkey")

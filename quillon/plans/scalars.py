@@ -11,7 +11,7 @@ from quillon.session import table
 
 # strings
 sql("fn_case", "SELECT n_nationkey, upper(n_name) AS u, lower(n_name) AS l FROM nation")
-sql("fn_initcap", "SELECT initcap(lower(r_name)) AS i FROM region", check=False)
+sql("fn_initcap", "SELECT initcap(lower(r_name)) AS i FROM region", "SELECT array_to_string(list_transform(string_split(lower(r_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS i FROM region")
 sql("fn_split_part", "SELECT split_part(p_brand, '#', 1) AS a, split_part(p_brand, '#', 2) AS b, split_part(p_brand, '#', 5) AS c FROM part")
 sql("fn_overlay", "SELECT overlay(p_brand PLACING '##' FROM 2 FOR 3) AS o FROM part", "SELECT substr(p_brand, 1, 1) || '##' || substr(p_brand, 5) AS o FROM part")
 sql("fn_translate", "SELECT translate(n_name, 'AEI', '123') AS t FROM nation")
@@ -27,7 +27,8 @@ sql("fn_left_right", "SELECT left(n_name, 2) AS a, right(n_name, 3) AS b FROM na
 sql("fn_pad", "SELECT lpad(CAST(n_nationkey AS STRING), 4, '0') AS a, rpad(n_name, 12, '.') AS b FROM nation")
 sql("fn_reverse_repeat", "SELECT reverse(n_name) AS a, repeat(n_name, 2) AS b FROM nation")
 sql("fn_printf", "SELECT format_string('%s:%05d:%.2f', n_name, n_nationkey, CAST(n_regionkey AS DOUBLE)) AS p FROM nation", "SELECT printf('%s:%05d:%.2f', n_name, n_nationkey, CAST(n_regionkey AS DOUBLE)) AS p FROM nation")
-sql("fn_regexp_extract_all", "SELECT doc_id, array_join(slice(regexp_extract_all(text, '[0-9]+', 0), 1, 5), ',') AS m FROM documents", "SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+')[1:5], ',') AS m FROM documents")
+sql("fn_regexp_extract_all", "SELECT doc_id, array_join(regexp_extract_all(text, '[0-9]+', 0), ',') AS m FROM documents", "SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+'), ',') AS m FROM documents")
+sql("fn_regexp_groups", "SELECT o_orderkey, regexp_extract(o_orderpriority, '([0-9])-(.*)', 1) AS a, regexp_extract(o_orderpriority, '([0-9])-(.*)', 2) AS b FROM orders")
 sql("fn_regexp_count", "SELECT doc_id, CAST(regexp_count(text, '[0-9]') AS BIGINT) AS n FROM documents", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]')) AS BIGINT) AS n FROM documents")
 sql("fn_regexp_replace_all", "SELECT regexp_replace(p_brand, '[0-9]', 'x') AS r FROM part", "SELECT regexp_replace(p_brand, '[0-9]', 'x', 'g') AS r FROM part")
 sql("fn_unicode", "SELECT CAST(unicode(n_name) AS INT) AS u, concat(chr(72), chr(105)) AS c FROM nation".replace("unicode", "ascii"), "SELECT unicode(n_name) AS u, chr(72) || chr(105) AS c FROM nation")
@@ -86,9 +87,20 @@ sql("fn_nvl_iif", "SELECT p_partkey, nvl(nullif(p_size, 7), 0) AS a, if(p_size >
 sql("fn_zeroblob", "SELECT CAST(repeat(chr(0), 4) AS BINARY) AS z", "SELECT '\\x00\\x00\\x00\\x00'::BLOB AS z")
 
 
-@frame("fn_typeof", "SELECT 'integer' AS a, 'real' AS b, 'text' AS c, 'null' AS d FROM region")
+@frame("fn_date_diff_units", "SELECT o_orderkey, date_diff('month', DATE '1995-01-01', CAST(date_trunc('month', o_orderdate) AS DATE)) AS months, CAST(date_diff('second', TIMESTAMP '1995-01-01 00:00:00', o_orderdate) // 3600 AS BIGINT) AS hours, CAST(date_diff('second', TIMESTAMP '1995-01-01 00:00:00', o_orderdate) // 604800 AS BIGINT) AS weeks FROM orders")
+def fn_date_diff_units(spark: SparkSession, sf: str) -> DataFrame:
+    d, zero = F.col("o_orderdate"), F.lit("1995-01-01 00:00:00").cast("timestamp_ntz")
+    return table(spark, sf, "orders").select("o_orderkey", *[S.date_diff(d, zero, u).alias(u) for u in ("months", "hours", "weeks")])
+
+
+@frame("fn_date_weekday", "SELECT event_id, CAST(date_trunc('day', ts) AS TIMESTAMP) + ((8 - dayofweek(ts)) % 7) * INTERVAL 1 DAY AS t FROM events")
+def fn_date_weekday(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", S.date_modifier(F.col("ts"), "start of day", "weekday 1").alias("t"))
+
+
+@frame("fn_typeof", "SELECT 'integer' AS a, 'real' AS b, 'text' AS c, 'null' AS d, 'blob' AS e FROM region")
 def fn_typeof(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "region").select(S.type_name(F.col("r_regionkey")).alias("a"), S.type_name(F.lit(1.5)).alias("b"), S.type_name(F.col("r_name")).alias("c"), S.type_name(F.lit(None).cast("int")).alias("d"))
+    return table(spark, sf, "region").select(S.type_name(F.col("r_regionkey")).alias("a"), S.type_name(F.lit(1.5)).alias("b"), S.type_name(F.col("r_name")).alias("c"), S.type_name(F.lit(None).cast("int")).alias("d"), S.type_name(F.col("r_name").cast("binary")).alias("e"))
 
 
 # dates
@@ -127,7 +139,16 @@ def fn_date_modifiers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", S.date_modifier(F.col("ts"), "start of month", "+1 month", "-1 day").alias("t"))
 
 
-@frame("fn_age")
+_AGE = "(year(DATE '2002-01-01') - year(o_orderdate)) * 12 + 1 - month(o_orderdate)"
+_AGE_DAYS = "1 - day(o_orderdate)"
+
+
+@frame(
+    "fn_age",
+    f"WITH d AS (SELECT o_orderkey, CASE WHEN {_AGE_DAYS} < 0 THEN {_AGE} - 1 ELSE {_AGE} END AS m, CASE WHEN {_AGE_DAYS} < 0 THEN {_AGE_DAYS} + 30 ELSE {_AGE_DAYS} END AS d FROM orders), "
+    "p AS (SELECT o_orderkey, CASE WHEN m // 12 <> 0 THEN (m // 12) || ' year' || CASE WHEN abs(m // 12) = 1 THEN '' ELSE 's' END END AS y, CASE WHEN m % 12 <> 0 THEN (m % 12) || ' mon' || CASE WHEN abs(m % 12) = 1 THEN '' ELSE 's' END END AS mo, "
+    "CASE WHEN d <> 0 THEN d || ' day' || CASE WHEN abs(d) = 1 THEN '' ELSE 's' END END AS da FROM d) SELECT o_orderkey, coalesce(nullif(concat_ws(' ', y, mo, da), ''), '0 days') AS a FROM p",
+)
 def fn_age(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", S.age(F.lit("2002-01-01").cast("date"), F.col("o_orderdate").cast("date")).alias("a"))
 
@@ -151,7 +172,27 @@ sql("fn_json_array", "SELECT n_nationkey, to_json(array(n_nationkey, n_regionkey
 sql("fn_row_to_json", "SELECT to_json(struct(r.*)) AS j FROM region r", "SELECT CAST(to_json(r) AS VARCHAR) AS j FROM region r")
 sql("fn_json_keys", "SELECT event_id, array_join(json_object_keys(props), ',') AS k FROM events", "SELECT event_id, array_to_string(json_keys(props), ',') AS k FROM events")
 sql("fn_json_valid", "SELECT x, try_parse_json(x) IS NOT NULL AS ok FROM (VALUES ('{\"a\":1}'), ('{bad'), ('[1]')) t(x)", "SELECT x, json_valid(x) AS ok FROM (VALUES ('{\"a\":1}'), ('{bad'), ('[1]')) t(x)")
-sql("fn_json_type", "SELECT event_id, schema_of_variant(variant_get(parse_json(props), '$.k', 'variant')) AS t FROM events", "SELECT event_id, 'BIGINT' AS t FROM events")
+
+
+_ODD_JSON = "(VALUES ('{\"k\":1}'), ('{\"k\":1.5}'), ('{\"k\":\"x\"}'), ('{\"k\":true}'), ('{\"k\":false}'), ('{\"k\":null}'), ('{\"k\":[1]}'), ('{\"k\":{}}'), ('{}')) t(j)"
+
+
+@frame("fn_json_type", f"SELECT j, CASE json_type(j, '$.k') WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'text' WHEN 'NULL' THEN 'null' WHEN 'DOUBLE' THEN 'real' WHEN 'BOOLEAN' THEN json_extract_string(j, '$.k') WHEN 'UBIGINT' THEN 'integer' END AS t FROM {_ODD_JSON}")
+def fn_json_type(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.sql(f"SELECT j FROM {_ODD_JSON}").select("j", S.json_type(F.col("j"), "$.k").alias("t"))
+
+
+@frame("fn_json_contains", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) = 7 AS c FROM events")
+def fn_json_contains(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", S.json_contains({"k": 7})(F.col("props")).alias("c"))
+
+
+@frame("fn_json_insert", "SELECT event_id, props::JSON ->> '$.k' AS kept, '1' AS made FROM events")
+def fn_json_insert(spark: SparkSession, sf: str) -> DataFrame:
+    j = S.json_insert(S.json_insert(F.col("props"), "$.k", -1), "$.z", 1)
+    return table(spark, sf, "events").select("event_id", F.get_json_object(j, "$.k").alias("kept"), F.get_json_object(j, "$.z").alias("made"))
+
+
 
 
 @frame("fn_json_set", "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || ',\"z\":1}' AS a, '{\"k\":0}' AS b, '{}' AS c FROM events")

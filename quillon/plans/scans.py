@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.predicates import all_of, any_of, between_symmetric, glob_to_regex, match_against, similar_to_regex, ts_match
+from quillon.functions.predicates import all_of, between_symmetric, glob_to_regex, match_against, match_stems, ordered, similar_to_regex, ts_match, ts_query, ts_rank
+from quillon.operators.catalog import information_columns, information_tables
+from quillon.operators.partitions import HashPartitioned, RangePartitioned
 from quillon.operators.scans import inherited, json_each, json_tree, partition_pruned, sample_rows
 from quillon.plans.registry import frame, sql
-from quillon.session import table
+from quillon.session import register, table
 
 sql("scan_seq_limit", "SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey LIMIT 3")
 sql("scan_filter_eq", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey = 7")
@@ -22,7 +24,15 @@ sql("scan_no_from", "SELECT 1 + 2 AS three, 'x' AS s, CAST(NULL AS INT) AS nothi
 sql("scan_generate_series", "SELECT explode(sequence(CAST(1 AS BIGINT), CAST(20 AS BIGINT), CAST(3 AS BIGINT))) AS n", "SELECT unnest(generate_series(1, 20, 3)) AS n")
 sql("scan_generate_series_down", "SELECT explode(sequence(CAST(10 AS BIGINT), CAST(1 AS BIGINT), CAST(-4 AS BIGINT))) AS n", "SELECT unnest(generate_series(10, 1, -4)) AS n")
 sql("scan_unnest", "SELECT n_nationkey, w FROM (SELECT n_nationkey, explode(split(n_name, '_')) AS w FROM nation)", "SELECT n_nationkey, unnest(string_split(n_name, '_')) AS w FROM nation")
-sql("scan_view", "WITH v AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT o_custkey, round(s, 2) AS s FROM v WHERE s > 100000")
+
+
+@frame("scan_view", "WITH v AS (SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey) SELECT o_custkey, round(s, 2) AS s FROM v WHERE s > 100000")
+def scan_view(spark: SparkSession, sf: str) -> DataFrame:
+    register(spark, sf, ["orders"])
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW quillon_spent AS SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey")
+    return spark.sql("SELECT o_custkey, round(s, 2) AS s FROM quillon_spent WHERE s > 100000")
+
+
 sql(
     "scan_zone_map",
     "SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1996-01-15 00:00:00'",
@@ -34,14 +44,27 @@ sql(
 )
 
 
-@frame("scan_json_each", "SELECT event_id, key AS json_key, json_extract_string(props, '$.' || key) AS json_value FROM (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events) e")
+#: Documents with nesting; the events' properties are flat.
+_NESTED = "'{\"k\":' || coalesce(json_extract_string(props, '$.k'), 'null') || ',\"t\":[\"' || event_type || '\",{\"u\":' || CAST(user_id AS VARCHAR) || '}],\"ok\":true}'"
+_JSON_KIND = "CASE {0}.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'text' WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN CAST({0}.value AS VARCHAR) WHEN 'DOUBLE' THEN 'real' ELSE 'integer' END"
+
+
+def _nested(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.coalesce(F.get_json_object("props", "$.k"), F.lit("null"))
+    doc = F.concat(F.lit('{"k":'), k, F.lit(',"t":["'), F.col("event_type"), F.lit('",{"u":'), F.col("user_id").cast("string"), F.lit('}],"ok":true}'))
+    return table(spark, sf, "events").select("event_id", doc.alias("doc"))
+
+
+@frame("scan_json_each", f"SELECT event_id, j.key, CASE WHEN j.type = 'VARCHAR' THEN j.value ->> '$' ELSE CAST(j.value AS VARCHAR) END AS value, {_JSON_KIND.format('j')} AS type, j.atom ->> '$' AS atom, j.fullkey, j.path FROM (SELECT event_id, {_NESTED} AS doc FROM events) e, json_each(e.doc) j")
 def scan_json_each(spark: SparkSession, sf: str) -> DataFrame:
-    return json_each(table(spark, sf, "events"), "props").select("event_id", "json_key", "json_value")
+    return json_each(_nested(spark, sf), "doc").select("event_id", "key", "value", "type", "atom", "fullkey", "path")
 
 
-@frame("scan_json_tree")
+@frame("scan_json_tree", f"SELECT event_id, j.key, {_JSON_KIND.format('j')} AS type, j.atom ->> '$' AS atom, j.fullkey, p.fullkey AS parent_key FROM (SELECT event_id, {_NESTED} AS doc FROM events) e, json_tree(e.doc) j LEFT JOIN json_tree(e.doc) p ON p.id = j.parent")
 def scan_json_tree(spark: SparkSession, sf: str) -> DataFrame:
-    return json_tree(table(spark, sf, "events").select("event_id", "props"), "props")
+    nodes = json_tree(_nested(spark, sf), "doc")
+    up = nodes.select("event_id", F.col("id").alias("parent"), F.col("fullkey").alias("parent_key"))
+    return nodes.join(up, ["event_id", "parent"], "left").select("event_id", "key", "type", "atom", "fullkey", "parent_key")
 
 
 @frame("scan_tablesample")
@@ -54,6 +77,17 @@ def scan_partition_pruned(spark: SparkSession, sf: str) -> DataFrame:
     return partition_pruned(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "F")
 
 
+@frame("scan_range_partitions", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice BETWEEN 50000 AND 120000")
+def scan_range_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    t = RangePartitioned(spark, "o_totalprice", [40000.0, 100000.0, 200000.0]).write(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"))
+    return t.between(50000.0, 120000.0)
+
+
+@frame("scan_hash_partitions", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 7")
+def scan_hash_partitions(spark: SparkSession, sf: str) -> DataFrame:
+    return HashPartitioned(spark, "o_custkey", 8).write(table(spark, sf, "orders").select("o_orderkey", "o_custkey")).equal(7)
+
+
 @frame("scan_inherited", "SELECT s_suppkey AS id, s_name AS name, NULL::DOUBLE AS bal FROM supplier UNION ALL SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey < 20")
 def scan_inherited(spark: SparkSession, sf: str) -> DataFrame:
     parent = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
@@ -61,7 +95,24 @@ def scan_inherited(spark: SparkSession, sf: str) -> DataFrame:
     return inherited(parent, child)
 
 
-sql("scan_information_schema", "SELECT 'orders' AS table_name, count(*) AS n FROM orders")
+
+
+_KIND = "CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END"
+
+
+@frame("scan_information_schema", f"SELECT table_name, column_name, CAST(ordinal_position AS BIGINT) AS ordinal_position, {_KIND} AS data_type FROM information_schema.columns WHERE table_name IN ('region', 'nation', 'orders', 'lineitem', 'events')")
+def scan_information_schema(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["region", "nation", "orders", "lineitem", "events"]
+    register(spark, sf, names)
+    return information_columns(spark).filter(F.col("table_name").isin(*names)).drop("is_nullable")
+
+
+@frame("scan_information_tables", "SELECT table_name FROM information_schema.tables WHERE table_name IN ('region', 'nation', 'documents')")
+def scan_information_tables(spark: SparkSession, sf: str) -> DataFrame:
+    names = ["region", "nation", "documents"]
+    register(spark, sf, names)
+    return information_tables(spark).filter(F.col("table_name").isin(*names)).select("table_name")
+
 
 # predicates
 sql("pred_comparisons", "SELECT p_partkey FROM part WHERE p_size = 5 OR p_size <> 6 AND p_size < 10 OR p_size >= 45")
@@ -84,10 +135,10 @@ sql("pred_regexp", "SELECT p_partkey FROM part WHERE p_brand RLIKE '#[12]3$'", "
 sql("pred_scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.9 FROM orders)")
 sql("pred_case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE 'other' END AS s FROM orders")
 sql("pred_case_searched", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'big' WHEN o_totalprice > 50000 THEN 'mid' END AS s FROM orders")
-sql("pred_cast", "SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS STRING) AS s, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_orderkey < 50")
+sql("pred_cast", "SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS q, CAST(l_linenumber AS STRING) AS s, CAST(l_shipdate AS DATE) AS d FROM lineitem")
 sql("pred_try_cast", "SELECT x, try_cast(x AS INT) AS n FROM (VALUES ('12'), ('zz'), (NULL)) t(x)")
-sql("pred_arithmetic", "SELECT l_orderkey, l_linenumber, l_linenumber + 2 AS a, l_linenumber - 5 AS b, l_linenumber * 3 AS c, l_linenumber / 2 AS d, CAST(l_linenumber % 3 AS INT) AS e, -l_linenumber AS f FROM lineitem WHERE l_orderkey < 100")
-sql("pred_int_division", "SELECT l_orderkey, l_linenumber, CAST(l_orderkey DIV l_linenumber AS BIGINT) AS q FROM lineitem WHERE l_orderkey < 100", "SELECT l_orderkey, l_linenumber, CAST(l_orderkey // l_linenumber AS BIGINT) AS q FROM lineitem WHERE l_orderkey < 100")
+sql("pred_arithmetic", "SELECT l_orderkey, l_linenumber, l_linenumber + 2 AS a, l_linenumber - 5 AS b, l_linenumber * 3 AS c, l_linenumber / 2 AS d, CAST(l_linenumber % 3 AS INT) AS e, -l_linenumber AS f FROM lineitem")
+sql("pred_int_division", "SELECT l_orderkey, l_linenumber, CAST(l_orderkey DIV l_linenumber AS BIGINT) AS q FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(l_orderkey // l_linenumber AS BIGINT) AS q FROM lineitem")
 sql("pred_division_by_zero", "SELECT p_partkey, try_divide(p_size, p_size - 5) AS q, try_mod(p_size, p_size - 5) AS m FROM part", "SELECT p_partkey, p_size / nullif(p_size - 5, 0) AS q, p_size % nullif(p_size - 5, 0) AS m FROM part")
 sql("pred_concat_operator", "SELECT n_nationkey, n_name || '-' || CAST(n_regionkey AS STRING) AS s, n_name || nullif(n_name, n_name) AS nothing FROM nation")
 sql("proj_star_alias", "SELECT n.*, n_regionkey * 10 AS r10 FROM nation n")
@@ -111,13 +162,13 @@ def pred_similar_to(spark: SparkSession, sf: str) -> DataFrame:
 @frame("pred_any", "SELECT p_partkey FROM part WHERE p_size < ANY (SELECT CAST(l_quantity AS INT) FROM lineitem WHERE l_orderkey < 5)")
 def pred_any(spark: SparkSession, sf: str) -> DataFrame:
     few = table(spark, sf, "lineitem").filter("l_orderkey < 5").select(F.col("l_quantity").cast("int").alias("v"))
-    return any_of(table(spark, sf, "part"), few, lambda v: F.col("p_size") < v).select("p_partkey")
+    return ordered(table(spark, sf, "part"), few, F.col("p_size"), "<", False).select("p_partkey")
 
 
 @frame("pred_all", "SELECT p_partkey FROM part WHERE p_size > ALL (SELECT CAST(l_linenumber * 6 AS INT) FROM lineitem WHERE l_orderkey < 5)")
 def pred_all(spark: SparkSession, sf: str) -> DataFrame:
     few = table(spark, sf, "lineitem").filter("l_orderkey < 5").select((F.col("l_linenumber") * 6).alias("v"))
-    return all_of(table(spark, sf, "part"), few, lambda v: F.col("p_size") > v).select("p_partkey")
+    return ordered(table(spark, sf, "part"), few, F.col("p_size"), ">", True).select("p_partkey")
 
 
 @frame("pred_all_empty", "SELECT p_partkey FROM part WHERE p_size > ALL (SELECT l_linenumber FROM lineitem WHERE l_orderkey < 0)")
@@ -134,3 +185,22 @@ def pred_match_against(spark: SparkSession, sf: str) -> DataFrame:
 @frame("pred_ts_match", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') AND contains(lower(text), 'apache')")
 def pred_ts_match(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").filter(ts_match(F.col("text"), "license & apache")).select("doc_id")
+
+
+_WORDS = "list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))"
+
+
+@frame("pred_match_stems", f"SELECT doc_id FROM documents WHERE len(list_filter({_WORDS}, lambda w: w IN ('license', 'licens', 'licenses', 'licensing', 'licensed', 'licensees', 'licensely'))) > 0")
+def pred_match_stems(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").filter(match_stems(F.coalesce("text", F.lit("")), "licenses")).select("doc_id")
+
+
+@frame("pred_ts_query", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9])mit[^a-z0-9]+license([^a-z0-9]|$)') OR (list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'apache') AND NOT list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'version'))")
+def pred_ts_query(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").filter(ts_query(F.col("text"), "mit <-> license | (apache & !version)")).select("doc_id")
+
+
+@frame("text_rank", "SELECT doc_id, round(len(list_filter(w, lambda x: x IN ('license', 'licens', 'licenses', 'licensing', 'licensed', 'mit', 'mits', 'mite', 'mites', 'miting', 'mited'))) / len(w), 6) AS score FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE len(list_filter(w, lambda x: x IN ('license', 'licens', 'licenses', 'licensing', 'licensed'))) > 0")
+def text_rank(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").filter(ts_query(F.col("text"), "license"))
+    return d.select("doc_id", F.round(ts_rank(F.col("text"), "mit license"), 6).alias("score"))

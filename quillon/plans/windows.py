@@ -40,23 +40,22 @@ def win_exclude_current(spark: SparkSession, sf: str) -> DataFrame:
     return exclude_current_row(table(spark, sf, "part"), ["p_brand"], ["p_partkey"], -2, 2, "p_size", "s").select("p_partkey", "s")
 
 
-@frame("win_exclude_ties", "SELECT p_partkey, count(*) OVER w AS x_count, min(p_retailprice) OVER w AS x_min FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE TIES)")
+@frame("win_exclude_ties", "SELECT p_partkey, count(*) OVER w AS x_count, min(p_retailprice) OVER w AS x_min FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE TIES)")
 def win_exclude_ties(spark: SparkSession, sf: str) -> DataFrame:
-    # Peers by both keys are single rows, so excluding ties keeps the frame.
-    p = table(spark, sf, "part").withColumn("k", F.struct("p_size", "p_partkey"))
-    return exclude_peers(p, ["p_brand"], "k", "p_partkey", -3, 3, "p_retailprice", "x", True).select("p_partkey", "x_count", "x_min")
+    return exclude_peers(table(spark, sf, "part"), ["p_brand"], "p_size", "p_partkey", -3, 3, "p_retailprice", "x", True, "range").select("p_partkey", "x_count", "x_min")
 
 
-@frame("win_exclude_group", "SELECT p_partkey, count(*) OVER w AS x_count, min(p_retailprice) OVER w AS x_min FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size, p_partkey ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE GROUP)")
+@frame("win_exclude_group", "SELECT p_partkey, count(*) OVER w AS x_count, min(p_retailprice) OVER w AS x_min FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING EXCLUDE GROUP)")
 def win_exclude_group(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").withColumn("k", F.struct("p_size", "p_partkey"))
-    return exclude_peers(p, ["p_brand"], "k", "p_partkey", -3, 3, "p_retailprice", "x", False).select("p_partkey", "x_count", "x_min")
+    return exclude_peers(table(spark, sf, "part"), ["p_brand"], "p_size", "p_partkey", -3, 3, "p_retailprice", "x", False, "range").select("p_partkey", "x_count", "x_min")
 
 
 # sorting and limits
 sql("sort_nulls_first", "SELECT p_partkey FROM (SELECT p_partkey, nullif(p_size, 7) AS x FROM part) t ORDER BY x ASC NULLS FIRST, p_partkey LIMIT 25")
 sql("sort_nulls_last", "SELECT p_partkey FROM (SELECT p_partkey, nullif(p_size, 7) AS x FROM part) t ORDER BY x DESC NULLS LAST, p_partkey LIMIT 25")
 sql("sort_expression", "SELECT o_orderkey FROM orders ORDER BY o_totalprice * -1, o_orderkey LIMIT 10")
+sql("sort_full", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey")
+sql("limit_all", "SELECT r_regionkey FROM region ORDER BY r_regionkey LIMIT ALL", "SELECT r_regionkey FROM region ORDER BY r_regionkey")
 sql("sort_ordinal_alias", "SELECT p_partkey AS k, p_size * 2 AS s FROM part ORDER BY 2 DESC, k LIMIT 15")
 sql("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 7 OFFSET 11")
 sql("limit_fetch_first", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey FETCH FIRST 5 ROWS ONLY")
@@ -80,4 +79,5 @@ _A, _B = "SELECT c_nationkey AS k FROM customer WHERE c_acctbal > 2000", "SELECT
 for _name, _op in (("union", "UNION"), ("union_all", "UNION ALL"), ("intersect", "INTERSECT"), ("intersect_all", "INTERSECT ALL"), ("except", "EXCEPT"), ("except_all", "EXCEPT ALL")):
     sql(f"set_{_name}", f"{_A} {_op} {_B}")
 sql("set_order_limit", f"SELECT k FROM ({_A} UNION {_B}) t ORDER BY k DESC LIMIT 5")
+sql("set_intersect_first", f"{_A} UNION {_B} INTERSECT SELECT n_nationkey FROM nation WHERE n_nationkey < 9")
 sql("set_precedence", f"({_A} EXCEPT SELECT 3 AS k) EXCEPT SELECT 4 AS k")

@@ -26,15 +26,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, files: int = 1) -> D
 
 
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and returns the rows it wrote."""
+    """Runs a stream over what is there now and returns the rows it wrote.
+
+    Each batch has a folder of its number, which a repeated batch writes anew, so no
+    row comes twice. In complete mode the last batch is the result.
+    """
     spark = stream.sparkSession
     out, at = shared_dir(spark), shared_dir(spark)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", at).trigger(availableNow=True).queryName(f"q{uuid.uuid4().hex}").start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
 
 
 def tumbling(stream: DataFrame, ts: str, width: str, late: str, key: str, value: str) -> DataFrame:
@@ -43,6 +48,12 @@ def tumbling(stream: DataFrame, ts: str, width: str, late: str, key: str, value:
     return w.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
 
 
+def windowed(stream: DataFrame, ts: str, window, late: str, *keys: str) -> DataFrame:
+    """Counts by a sliding or session window and keys: start, end, keys, n."""
+    w = stream.withWatermark(ts, late).groupBy(window.alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
+    return w.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, "n")
+
+
 def interval_join(left: DataFrame, right: DataFrame, key: str, lts: str, rts: str, within: str, late: str) -> DataFrame:
     """Pairs of two streams with the same key whose times are at most ``within`` apart, right after left; state is bounded by watermarks."""
     a, b = left.withWatermark(lts, late), right.withWatermark(rts, late)
@@ -51,7 +62,10 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, lts: str, rts: st
 
 
 def sliding_count(stream: DataFrame, key: str, flag: str, order: str, size: int) -> DataFrame:
-    """For each key, how many of its last ``size`` rows have the flag, given out with every batch that has rows of it."""
+    """For each key, how many of its last ``size`` rows have the flag, given out with every batch that has rows of it.
+
+    Rows count in the order of arrival; ``order`` sorts those of one batch only.
+    """
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(parts).sort_values(order)[flag].astype(int).tolist()
@@ -63,6 +77,6 @@ def sliding_count(stream: DataFrame, key: str, flag: str, order: str, size: int)
 
 
 def change_feed(stream: DataFrame, apply: Callable[[DataFrame, int], None]) -> None:
-    """Hands every micro-batch to a sink, as a subscription to a change log does."""
+    """Hands every micro-batch and its number to a sink, as a subscription to a change log does. A batch may come again after a failure, so sinks go by its number."""
     at = shared_dir(stream.sparkSession)
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
