@@ -16,9 +16,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 # Element names by their role.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q ruby rp rt s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output progress q ruby rp rt s samp small span strike strong sub sup svg time tt u var wbr img math mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mpadded mphantom semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object audio video canvas select option datalist".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes template select option datalist annotation annotation-xml".split())
 AWAY = frozenset("nav footer aside form button dialog menu fieldset legend label".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ROLES_AWAY = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -27,9 +27,15 @@ WORDS_AWAY = frozenset(
     "notice alert popup modal overlay comment comments commentlist disqus reply replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login search "
     "breadcrumb breadcrumbs widget pagination pager toolbar copyright legal disclaimer form skip".split()
 )
+# Words that a name may have beside one of those; with any other, as in social-history, it names a part of the text.
+WORDS_BESIDE = frozenset(
+    "area articles background bar block body bottom box btn button buttons card center col column columns container content desktop div drawer fixed follow for form global grid group has holder icon icons inner item items label layout "
+    "left link links list local main media mobile module nav open outer page panel posts primary right row secondary section service site slot small social sticky stories sub tabs text theme title toggle top unit us wide wrap wrapper with".split()
+)
 WORDS_MAIN = frozenset("article content main post entry story body text prose".split())
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*>)", re.S)
+TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+QUOTED = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?", re.I)
 SPLIT_NAME = re.compile(r"[^a-z]+|(?<=[a-z])(?=[A-Z])")
 AWAY_BIT, MAIN_BIT, HEAD_BIT = 1, 2, 4
@@ -52,8 +58,9 @@ class Block:
 
 
 def names_in(value: str) -> set[str]:
+    """The words of a name; those of one or two letters say nothing unless they stand for advertisements."""
     parts = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
-    return {w for w in re.split(r"[^a-z]+", parts.lower()) if w}
+    return {w for w in re.split(r"[^a-z]+", parts.lower()) if len(w) > 2 or w == "ad"}
 
 
 @functools.lru_cache(maxsize=4096)
@@ -66,10 +73,11 @@ def flags_of(tag: str, attrs: str) -> int:
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            words = names_in(value)
-            if words & WORDS_AWAY:
-                named = 0 if tag in ("html", "body") else NAMED_BIT | OTHERS_BIT if words & WORDS_OTHERS else 0 if tag in ("article", "main") else named | NAMED_BIT
-            elif words & WORDS_MAIN and tag not in ("body", "html"):
+            each = [names_in(v) for v in value.split()]
+            away = set().union(*[w for w in each if w & WORDS_AWAY and w <= WORDS_AWAY | WORDS_BESIDE | WORDS_MAIN])
+            if away:
+                named = 0 if tag in ("html", "body") else NAMED_BIT | OTHERS_BIT if away & WORDS_OTHERS else 0 if tag in ("article", "main") else named | NAMED_BIT
+            elif any(w & WORDS_MAIN for w in each) and tag not in ("body", "html"):
                 flags |= MAIN_BIT
         elif name == "role":
             flags |= (AWAY_BIT if value.lower() in ROLES_AWAY else 0) | (MAIN_BIT if value.lower() in ("main", "article") else 0)
@@ -79,31 +87,33 @@ def flags_of(tag: str, attrs: str) -> int:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order. Broken markup is read as far as it goes; nothing raises.
+    """Text blocks in page order, in time linear in the page. Broken markup is read as far as it goes; nothing raises.
 
     Where no article stands free, elements that only a class or id names as away are
     wrappers of the page, and not away, if they hold its longest article or main
     element or most of its prose; those named for the texts of others only if that
-    article holds most of it.
+    article holds most of it. After a tag with a quote that never closes, quotes
+    no longer hide the end of a tag.
     """
     out: list[Block] = []
-    inside: list[tuple[tuple[int, ...], int]] = []  # of each block, the named elements around it and the article
-    articles: dict[int, tuple[int, ...]] = {}
+    inside: list[tuple[int, int]] = []  # of each block, the innermost named element and article around it
+    named_above: dict[int, int] = {}  # of each named element, the one around it
+    articles: dict[int, int] = {}  # of each article, the named element around it
     others: set[int] = set()
-    stack: list[tuple[str, int, int, tuple[int, ...], int]] = [("#root", 0, 0, (), 0)]  # name, flags with those above, number, named elements and article around
+    # Name, flags with those above, number, place of the innermost element that isn't inline, and the named element and article around.
+    stack: list[tuple[str, int, int, int, int, int]] = [("#root", 0, 0, 0, 0, 0)]
     open_names: Counter[str] = Counter()
     pieces: list[str] = []
-    linked = links = number = at = 0
+    linked = links = number = 0
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                top = next((s for s in reversed(stack) if s[0] not in INLINE), stack[0])
-                i = stack.index(top)
-                out.append(Block(text, linked, stack[-1][1], top[0], top[2], stack[max(0, i - 1)][2]))
-                inside.append(stack[-1][3:])
+                i = stack[-1][3]
+                out.append(Block(text, linked, stack[-1][1], stack[i][0], stack[i][2], stack[max(0, i - 1)][2]))
+                inside.append(stack[-1][4:])
             pieces.clear()
         linked = 0
 
@@ -124,9 +134,9 @@ def blocks_of(page: str) -> list[Block]:
             if top == name:
                 return
 
-    pos, end = 0, len(page)
+    pos, end, stop, quotes = 0, len(page), page.rfind(">") + 1, True
     while pos < end:
-        m = TOKEN.search(page, pos)
+        m = TOKEN.search(page, pos, stop) if pos < stop else None
         if m is None:
             say(page[pos:])
             break
@@ -134,16 +144,23 @@ def blocks_of(page: str) -> list[Block]:
         pos, name = m.end(), (m[2] or "").lower()
         if not name:
             continue
+        q = QUOTED.match(page, pos, stop) if quotes else None
+        quotes = q is not None
+        shut = q.end() if q else page.find(">", pos) + 1
+        attrs, pos = page[pos : shut - 1], shut
         if m[1]:
             if name not in INLINE:
                 flush()
             if open_names[name] > 0:
                 close(name)
             continue
-        attrs = m[3][:-1]
         if name in RAW:
             if not attrs.endswith("/"):
                 shut = re.compile(rf"</{re.escape(name)}\s*>|</{re.escape(name)}\s", re.I).search(page, pos)
+                if name == "xmp":
+                    flush()
+                    pieces.append(page[pos : end if shut is None else shut.start()])
+                    flush()
                 pos = end if shut is None else shut.end() if shut[0].endswith(">") else page.find(">", shut.start()) + 1 or end
             continue
         if name == "br":
@@ -161,37 +178,48 @@ def blocks_of(page: str) -> list[Block]:
         own, above = flags_of(name, attrs), stack[-1][1]
         if name == "header" and above & MAIN_BIT and own == AWAY_BIT:
             own = 0  # the article's own head
-        named, article = stack[-1][3:]
+        named, article = stack[-1][4:]
         if own & NAMED_BIT:
-            named = (*named, number)
+            named_above[number] = named
+            named = number
             if own & OTHERS_BIT:
                 others.add(number)
         elif name in ("article", "main") and not (above | own) & AWAY_BIT:
             article = number
             articles[number] = named
         own &= ~(NAMED_BIT | OTHERS_BIT)
-        stack.append((name, above | own, number, named, article))
+        stack.append((name, above | own, number, stack[-1][3] if name in INLINE else len(stack), named, article))
         open_names[name] += 1
         links += name == "a"
     flush()
-    if not any(names for names, _ in inside):
+    if not any(named for named, _ in inside):
         return out
     prose: Counter[int] = Counter()
     total = 0
-    for b, (names, article) in zip(out, inside):
+    for b, (named, article) in zip(out, inside):
         if not b.flags & AWAY_BIT:
             n = max(0, len(b.text) - b.linked)
             total += n
-            for k in (*names, article):
-                prose[k] += n
-    wrappers: set[int] = set()
-    if not any(b.flags & MAIN_BIT and not b.flags & AWAY_BIT and not names for b, (names, _) in zip(out, inside)):
-        wrappers = {k for k, n in prose.items() if n > HOLDS_MOST * total and k not in others}
-        longest = max(articles, key=lambda k: prose[k], default=0)
-        if longest and (others.isdisjoint(articles[longest]) or prose[longest] > HOLDS_MOST * total):
-            wrappers.update(articles[longest])
-    for b, (names, _) in zip(out, inside):
-        if not wrappers.issuperset(names):
+            prose[named] += n
+            prose[-article] += n
+    for k in sorted(named_above, reverse=True):  # those inside come after those around them
+        prose[named_above[k]] += prose[k] if named_above[k] else 0
+    wrappers: set[int] = {0}
+    if not any(b.flags & MAIN_BIT and not b.flags & AWAY_BIT and not named for b, (named, _) in zip(out, inside)):
+        wrappers.update(k for k in named_above if prose[k] > HOLDS_MOST * total and k not in others)
+        longest = max(articles, key=lambda k: prose[-k], default=0)
+        around, k = [], articles.get(longest, 0)
+        while k:
+            around.append(k)
+            k = named_above[k]
+        if others.isdisjoint(around) or prose[-longest] > HOLDS_MOST * total:
+            wrappers.update(around)
+    free = {0}  # named elements that are wrappers and stand in wrappers only
+    for k in sorted(named_above):
+        if k in wrappers and named_above[k] in free:
+            free.add(k)
+    for b, (named, _) in zip(out, inside):
+        if named not in free:
             b.flags |= AWAY_BIT
     return out
 
