@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import bytehash
+from quillon.llm.common import fresh, materialize, packed
 
 EDITS = 0.2  # a passage matches an item with up to this share of its words edited
 MIN_WORDS = 5  # shorter items allow no edit and are searched by exact match
@@ -376,6 +377,37 @@ def searcher(index: Broadcast, kind: str) -> Callable[[Column], Column]:
     return hits
 
 
+def searched(docs: DataFrame, benchmark: DataFrame, text: str) -> DataFrame:
+    """``row`` with the whole row and ``hits``; see :func:`with_hits`.
+
+    A benchmark of one block is searched in one pass. Of a larger one, block after
+    block goes to the tasks; the hits of each are stored, and they are joined to the
+    rows by 128 bits of the text, so no task ever holds two blocks.
+    """
+    kind = f"array<struct<item_id:{benchmark.schema['item_id'].dataType.simpleString()},distance:int>>"
+    spark, none = docs.sparkSession, F.array().cast(kind)
+    d = docs.select(packed(docs).alias("row"), F.col(text).alias("t"))
+    keys = (F.xxhash64("t").alias("ra"), F.xxhash64("t", F.lit("b")).alias("rb"))
+    blocks = blocks_of_items(benchmark)
+    block, parts = next(blocks), []
+    while True:
+        index, block = Index(*block), next(blocks, None)
+        if index.groups or index.short:
+            sent = spark.sparkContext.broadcast(index)
+            hits = searcher(sent, kind)(F.col("t"))
+            if block is None and not parts:
+                return d.select("row", hits.alias("hits"))
+            found = d.select(*keys, hits.alias("hits")).filter(F.size("hits") > 0).dropDuplicates(["ra", "rb"])
+            parts.append(materialize(found, "block-hits"))
+            sent.destroy()
+        if block is None:
+            break
+    if not parts:
+        return d.select("row", none.alias("hits"))
+    every = functools.reduce(DataFrame.unionByName, parts).groupBy("ra", "rb").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    return d.select("row", *keys).join(every, ["ra", "rb"], "left").select("row", F.coalesce("hits", none).alias("hits"))
+
+
 def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "hits") -> DataFrame:
     """Adds the matching items to every row, as an array of item_id and distance, sorted; empty without a match.
 
@@ -383,23 +415,20 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: st
     passage differs from it in at most a fifth of n edits of whole words, so one
     of under five words only by an equal passage. Characters of scripts without
     spaces count as words. Null and empty texts match nothing, nor do null items
-    and those without a word; an empty benchmark matches nothing. Items with equal ids are items of their own.
+    and those without a word; an empty benchmark matches nothing. Items with equal
+    ids are items of their own. Columns of the input stay as they are; where one
+    is called ``out``, the new one gets an underscore. An empty table stays empty.
     """
-    kind = f"array<struct<item_id:{benchmark.schema['item_id'].dataType.simpleString()},distance:int>>"
-    found: list[Column] = []
-    for ids, texts in blocks_of_items(benchmark):
-        index = Index(ids, texts)
-        if not index.groups and not index.short:
-            continue
-        found.append(searcher(docs.sparkSession.sparkContext.broadcast(index), kind)(F.col(text)))
-    return docs.withColumn(out, F.concat(*found) if len(found) > 1 else found[0] if found else F.array().cast(kind))
+    (name,) = fresh(docs.columns, out)
+    return searched(docs, benchmark, text).select("row.*", F.col("hits").alias(name))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, distance: one row for each document and item that it holds."""
-    return with_hits(docs.select("doc_id", "text"), benchmark).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.distance")
+    """doc_id, item_id, distance: one row for each document and item that it holds; other columns are ignored."""
+    found = searched(docs.select("doc_id", "text"), benchmark, "text")
+    return found.select("row.doc_id", F.explode("hits").alias("h")).select("doc_id", "h.item_id", "h.distance")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no item, with their columns as they are."""
-    return with_hits(docs, benchmark, out="__hits").filter(F.size("__hits") == 0).drop("__hits")
+    return searched(docs, benchmark, "text").filter(F.size("hits") == 0).select("row.*")
