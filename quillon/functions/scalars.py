@@ -11,7 +11,7 @@ from pyspark.sql.types import StringType
 
 # Date format letters of the two pattern languages, as Spark writes them.
 TO_CHAR = {"YYYY": "yyyy", "MM": "MM", "DD": "dd", "HH24": "HH", "HH12": "hh", "MI": "mm", "SS": "ss", "MON": "MMM", "DY": "EEE", "Q": "Q"}
-STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD"}
+STRFTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%j": "DDD", "%f": "ss.SSS", "%I": "hh", "%p": "a", "%y": "yy", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%F": "yyyy-MM-dd", "%T": "HH:mm:ss"}
 
 
 def concat_skip_null(*parts: Column) -> Column:
@@ -65,9 +65,29 @@ def to_char(d: Column, pattern: str) -> Column:
 
 
 def strftime(pattern: str, d: Column) -> Column:
-    for k, v in STRFTIME.items():
-        pattern = pattern.replace(k, v)
-    return F.date_format(d, pattern)
+    """Text of a time by percent directives; ``%s`` is the epoch in seconds, ``%w`` the weekday from Sunday 0, ``%J`` the Julian day, ``%%`` a percent sign."""
+    parts, plain = [], ""
+    i = 0
+    while i < len(pattern):
+        two = pattern[i : i + 2]
+        special = {"%s": lambda: F.unix_seconds(d.cast("timestamp")).cast("string"), "%w": lambda: day_of_week(d).cast("string"), "%J": lambda: julian_day(d).cast("string"), "%%": lambda: F.lit("%")}.get(two)
+        if special or two in STRFTIME:
+            if plain:
+                parts.append(F.lit(plain))
+                plain = ""
+            parts.append(special() if special else F.date_format(d, STRFTIME[two]))
+            i += 2
+        else:
+            plain += pattern[i]
+            i += 1
+    if plain:
+        parts.append(F.lit(plain))
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def number_to_char(x: Column, pattern: str) -> Column:
+    """TO_CHAR of a number: 9 and 0 are digits, a comma groups, a point parts decimals; too large a number gives hash signs."""
+    return F.to_char(x.cast(f"decimal(38,{len(pattern.partition('.')[2])})"), F.lit(pattern))
 
 
 def julian_day(d: Column) -> Column:

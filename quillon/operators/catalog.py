@@ -24,6 +24,70 @@ def information_columns(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, COLUMNS_SCHEMA)
 
 
+def pg_tables(spark: SparkSession) -> DataFrame:
+    """schemaname, tablename and hasindexes; Parquet's statistics stand for indexes, so none is listed."""
+    return information_tables(spark).select(F.lit("public").alias("schemaname"), F.col("table_name").alias("tablename"), F.lit(False).alias("hasindexes"))
+
+
+def pg_stat_user_tables(spark: SparkSession, names: list[str]) -> DataFrame:
+    """relname and n_live_tup, the rows of each table by counting them."""
+    out = None
+    for n in names:
+        one = spark.table(n).agg(F.lit(n).alias("relname"), F.count(F.lit(1)).alias("n_live_tup"))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], "relname string, n_live_tup long")
+
+
+def dump(spark: SparkSession, names: list[str], path: str) -> None:
+    """Writes tables with their schemas to one folder each under a path."""
+    for n in names:
+        spark.table(n).write.parquet(f"{path}/{n}")
+
+
+def restore(spark: SparkSession, names: list[str], path: str) -> None:
+    """Names the tables of a dump again."""
+    for n in names:
+        spark.read.parquet(f"{path}/{n}").createOrReplaceTempView(n)
+
+
+class Sequence:
+    """NEXTVAL, CURRVAL and SETVAL for the driver; many values at once come from :func:`quillon.operators.dml.with_sequence`."""
+
+    def __init__(self, start: int = 1, step: int = 1, least: int | None = None, most: int | None = None, cycle: bool = False):
+        if step == 0:
+            raise ValueError("a step can't be 0")
+        self.start, self.step, self.least, self.most, self.cycle = start, step, least, most, cycle
+        self.next, self.current = start, None
+
+    def nextval(self) -> int:
+        v = self.next
+        if self.most is not None and v > self.most or self.least is not None and v < self.least:
+            if not self.cycle:
+                raise ValueError("the sequence is at its end")
+            v = (self.least if self.least is not None else self.start) if self.step > 0 else (self.most if self.most is not None else self.start)
+        self.current, self.next = v, v + self.step
+        return v
+
+    def currval(self) -> int:
+        if self.current is None:
+            raise ValueError("no value has been taken yet")
+        return self.current
+
+    def setval(self, value: int, called: bool = True) -> int:
+        self.current, self.next = value, value + self.step if called else value
+        return value
+
+    def take(self, df: DataFrame, order: list[str], name: str) -> DataFrame:
+        """Numbers all rows in an order with the next values."""
+        from quillon.operators.dml import with_sequence
+
+        out = with_sequence(df, order, name, self.next, self.step)
+        n = df.count()
+        if n:
+            self.setval(self.next + (n - 1) * self.step)
+        return out
+
+
 def show_create(spark: SparkSession, name: str) -> str:
     """A CREATE TABLE statement with the table's columns."""
     cols = ",\n  ".join(f"`{f.name}` {f.dataType.simpleString().upper()}{'' if f.nullable else ' NOT NULL'}" for f in spark.table(name).schema)

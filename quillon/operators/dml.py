@@ -150,6 +150,38 @@ class MaterializedView:
         return self.rows
 
 
+class ViewManager:
+    """Materialized views by name, with the tables that each reads; a change makes those views stale, or computes them at once."""
+
+    def __init__(self) -> None:
+        self.views: dict[str, tuple[MaterializedView, frozenset[str], bool]] = {}
+
+    def create(self, name: str, tables: list[str], query: Callable[[], DataFrame], auto_refresh: bool = False) -> None:
+        if name in self.views:
+            raise ValueError(f"view {name} exists")
+        self.views[name] = (MaterializedView(query), frozenset(tables), auto_refresh)
+
+    def changed(self, table: str) -> None:
+        for view, tables, auto in self.views.values():
+            if table in tables:
+                view.notify()
+                if auto:
+                    view.read()
+
+    def stale(self) -> list[str]:
+        return [n for n, (v, _, _) in self.views.items() if v.stale]
+
+    def refresh_stale(self) -> list[str]:
+        """Computes all stale views anew and names them."""
+        names = self.stale()
+        for n in names:
+            self.views[n][0].read()
+        return names
+
+    def read(self, name: str) -> DataFrame:
+        return self.views[name][0].read()
+
+
 def with_sequence(df: DataFrame, order: list[str], name: str, start: int = 1, step: int = 1) -> DataFrame:
     """Numbers without gaps in an order, without bringing all rows to one task.
 

@@ -21,6 +21,7 @@ sql("agg_nulls", "SELECT count(x) AS n, CAST(sum(x) AS BIGINT) AS s, round(avg(x
 sql("agg_median", "SELECT o_orderstatus, median(o_totalprice) AS m FROM orders GROUP BY o_orderstatus")
 sql("agg_percentile_cont", "SELECT o_orderstatus, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY o_totalprice), 4) AS p FROM orders GROUP BY o_orderstatus")
 sql("agg_percentile_disc", "SELECT o_orderstatus, percentile_disc(0.25) WITHIN GROUP (ORDER BY o_totalprice) AS p FROM orders GROUP BY o_orderstatus")
+sql("agg_mode_ties", "SELECT o_custkey, mode(o_orderstatus, true) AS m FROM orders GROUP BY o_custkey", "SELECT o_custkey, o_orderstatus AS m FROM (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderstatus) AS r FROM orders GROUP BY o_custkey, o_orderstatus) t WHERE r = 1")
 sql("agg_mode", "SELECT mode() WITHIN GROUP (ORDER BY x) AS m FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 7 ELSE CAST(p_partkey AS INT) END AS x FROM part) t", "SELECT mode(x) AS m FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 7 ELSE CAST(p_partkey AS INT) END AS x FROM part) t")
 sql("agg_stddev", "SELECT l_returnflag, round(stddev(l_quantity), 6) AS a, round(stddev_pop(l_quantity), 6) AS b, round(variance(l_quantity), 5) AS c, round(var_pop(l_quantity), 5) AS d FROM lineitem GROUP BY l_returnflag")
 sql("agg_stddev_single", "SELECT r_regionkey, stddev_samp(r_regionkey) AS s FROM region GROUP BY r_regionkey")

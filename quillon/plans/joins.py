@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators.joins import asof_join, band_join, intersect_keys, lateral_top_n, salted_join
+from quillon.operators.joins import asof_join, band_join, bloom_join, intersect_keys, lateral_top_n, salted_join
 from quillon.plans.registry import frame, sql
 from quillon.session import table
 
@@ -30,7 +30,14 @@ sql("join_left_lateral", "SELECT n_nationkey, x.s_suppkey FROM nation LEFT JOIN
 sql("join_cross_apply", "SELECT n_nationkey, x.total FROM nation, LATERAL (SELECT round(sum(c_acctbal), 2) AS total FROM customer WHERE c_nationkey = n_nationkey) x")
 sql("join_view_cte", "WITH big AS (SELECT o_custkey, max(o_totalprice) AS m FROM orders GROUP BY o_custkey) SELECT c_name, m FROM customer JOIN big ON c_custkey = o_custkey WHERE m > 300000")
 sql("join_multiway", "SELECT r_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey GROUP BY r_name")
-sql("join_bloom_shape", "SELECT l_returnflag, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 15 AND p_brand = 'Brand#11' GROUP BY l_returnflag")
+
+
+@frame("join_bloom_shape", "SELECT l_returnflag, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 15 GROUP BY l_returnflag")
+def join_bloom_shape(spark: SparkSession, sf: str) -> DataFrame:
+    few = table(spark, sf, "part").filter("p_size = 15").select(F.col("p_partkey").alias("l_partkey"))
+    return bloom_join(table(spark, sf, "lineitem").select("l_partkey", "l_returnflag"), few, "l_partkey").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+
+
 sql("join_grace_hash", "SELECT /*+ SHUFFLE_HASH(orders) */ count(*) AS n, round(sum(l_extendedprice), 2) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
 
 

@@ -9,13 +9,13 @@ from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quillon.operators import analytics as A
 from quillon.operators import dml as D
-from quillon.operators.catalog import RowPolicies, Tables
+from quillon.operators.catalog import RowPolicies, Sequence, Tables, dump, pg_stat_user_tables, pg_tables, restore
 from quillon.operators.cursors import limited
 from quillon.operators.procedures import Routines
 from quillon.operators.recursion import written
 from quillon.operators.scans import shared_dir
 from quillon.plans.registry import frame, sql
-from quillon.session import table
+from quillon.session import register, table
 from quillon.sources.text_files import copy_from, copy_to
 from quillon.streaming import jobs
 
@@ -640,3 +640,44 @@ def copy_tsv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_dir(spark)
     copy_to(table(spark, sf, "nation"), path, "tsv")
     return copy_from(spark, path, "n_nationkey int, n_name string, n_regionkey int", "tsv")
+
+
+@frame("scan_pg_stats", "SELECT 'region' AS relname, count(*) AS n_live_tup FROM region UNION ALL SELECT 'orders', count(*) FROM orders")
+def scan_pg_stats(spark: SparkSession, sf: str) -> DataFrame:
+    register(spark, sf, ["region", "orders"])
+    names = [r.tablename for r in pg_tables(spark).filter("tablename IN ('region', 'orders')").collect()]
+    return pg_stat_user_tables(spark, names)
+
+
+@frame("source_dump_restore", "SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+def source_dump_restore(spark: SparkSession, sf: str) -> DataFrame:
+    register(spark, sf, ["region", "nation"])
+    path = shared_dir(spark)
+    dump(spark, ["region", "nation"], path)
+    restore(spark, ["region", "nation"], path)
+    return spark.sql("SELECT r_name, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+
+
+@frame("ddl_matview_manager", "SELECT 'counts' AS name, count(*) AS n FROM orders UNION ALL SELECT 'kept', 0 UNION ALL SELECT 'auto', count(*) FROM orders")
+def ddl_matview_manager(spark: SparkSession, sf: str) -> DataFrame:
+    """Views over a table that fills: a stale one is refreshed, one of another table stays, one refreshes itself."""
+    source = [table(spark, sf, "orders").limit(0)]
+    count = lambda: source[0].agg(F.count(F.lit(1)).alias("n"))
+    m = D.ViewManager()
+    m.create("counts", ["orders"], count)
+    m.create("kept", ["region"], count)
+    m.create("auto", ["orders"], count, auto_refresh=True)
+    m.refresh_stale()
+    source[0] = table(spark, sf, "orders")
+    m.changed("orders")
+    m.refresh_stale()
+    parts = [m.read(n).select(F.lit(n).alias("name"), "n") for n in ("counts", "kept", "auto")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@frame("ddl_sequence_values", "SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) * 5 + 20 AS v FROM nation")
+def ddl_sequence_values(spark: SparkSession, sf: str) -> DataFrame:
+    s = Sequence(start=10, step=5)
+    s.nextval(), s.nextval()
+    s.setval(20)
+    return s.take(table(spark, sf, "nation").select("n_nationkey"), ["n_nationkey"], "v")

@@ -129,6 +129,16 @@ def fn_to_char(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", S.to_char(F.col("ts"), "YYYY-MM-DD HH24:MI").alias("a"), S.strftime("%Y/%j", F.col("ts")).alias("b"))
 
 
+@frame("fn_strftime", "SELECT event_id, strftime(ts, '%Y-%m-%d') || 'T' || strftime(ts, '%H:%M:%S') || ' ' || strftime(ts, '%A %B %p %I %y') || ' ' || CAST(floor(epoch(ts)) AS BIGINT) || ' ' || dayofweek(ts) || ' 100%' AS s FROM events")
+def fn_strftime(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", S.strftime("%FT%T %A %B %p %I %y %s %w 100%%", F.col("ts")).alias("s"))
+
+
+@frame("fn_to_char_number", "SELECT p_partkey, trim(format('{:,.2f}', p_retailprice)) AS s FROM part")
+def fn_to_char_number(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", F.trim(S.number_to_char(F.round("p_retailprice", 2), "999,999,990.00")).alias("s"))
+
+
 @frame("fn_julian_day", "SELECT event_id, round(epoch(ts) / 86400 + 2440587.5, 5) AS j FROM events")
 def fn_julian_day(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", F.round(S.julian_day(F.col("ts")), 5).alias("j"))

@@ -10,8 +10,9 @@ from quillon.functions import predicates as P
 from quillon.functions import scalars as S
 from quillon.operators import analytics as A
 from quillon.operators import dml as D
-from quillon.operators.catalog import RowPolicies, Tables, show_create
+from quillon.operators.catalog import RowPolicies, Sequence, Tables, show_create
 from quillon.operators.cursors import limited
+from quillon.operators.joins import bloom_join
 from quillon.operators.partitions import HashPartitioned, RangePartitioned
 from quillon.operators.procedures import Routines
 from quillon.operators.recursion import depth_first, has_cycle, shortest_routes
@@ -170,3 +171,27 @@ def test_limits_and_rejections(spark):
 def test_age(spark):
     d = lambda a, b: spark.range(1).select(S.age(F.lit(a).cast("date"), F.lit(b).cast("date"))).first()[0]
     assert d("2024-03-04", "2023-02-01") == "1 year 1 mon 3 days" and d("2024-03-01", "2024-03-01") == "0 days" and d("2024-03-01", "2024-02-28") == "3 days"
+
+
+def test_sequences():
+    s = Sequence(start=1, step=2, most=4, least=1, cycle=True)
+    with pytest.raises(ValueError):
+        s.currval()
+    assert [s.nextval() for _ in range(3)] == [1, 3, 1] and s.currval() == 1
+    s.setval(2, called=False)
+    assert s.nextval() == 2
+    with pytest.raises(ValueError):
+        end = Sequence(most=1)
+        end.nextval(), end.nextval()
+
+
+def test_bloom_join_keeps_every_pair(spark):
+    left = spark.createDataFrame([(i % 50 if i % 7 else None, i) for i in range(300)], "k int, a int")
+    right = spark.createDataFrame([(3, "x"), (3, "y"), (49, "z"), (None, "n")], "k int, b string")
+    assert rows(bloom_join(left, right, "k")) == rows(left.join(right, "k")) and bloom_join(left, right.limit(0), "k").count() == 0
+
+
+def test_strftime(spark):
+    t = F.lit("2024-03-05 14:07:09").cast("timestamp_ntz")
+    assert spark.range(1).select(S.strftime("%F %T %I%p %w %% %s x", t)).first()[0] == "2024-03-05 14:07:09 02PM 2 % 1709647629 x"
+    assert spark.range(1).select(F.trim(S.number_to_char(F.lit(1234.5), "999,990.00"))).first()[0] == "1,234.50"
