@@ -271,10 +271,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     spans = parts[0]
     for x in parts[1:]:
         spans = spans.unionByName(x)
-    spans = spans.groupBy("hash", "ca", "cb").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # Stored, so that the join has plain scans on both sides and Spark may split a surrounding that stands in very many places.
+    spans = materialize(spans.groupBy("hash", "ca", "cb").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "suffix-spans")
     placed = occ.select("ra", "rb", "hash", "pos", "ca", "cb").join(spans, ["hash", "ca", "cb"])
     placed = materialize(placed.select("ra", "rb", "pos", "lo", "hi"), "suffix-ranges")
-    release(occ, counts, open_)
+    release(occ, counts, open_, spans)
     return placed.select("ra", "rb", (F.col("pos") + F.col("lo")).cast("int").alias("start"), (F.col("pos") + F.col("hi")).cast("int").alias("end"))
 
 
@@ -300,6 +301,20 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.concat([batch[["doc_id"]].reset_index(drop=True), out], axis=1)
 
 
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc_id, t as UTF-8 and the 128-bit key of both, ra and rb."""
+    d = docs.select(F.col(key).alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t"))
+    return d.select("doc_id", *row_key(F.col("doc_id"), F.col("t")), "t")
+
+
+def cut(d: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each row of ``d`` (doc_id, ra, rb, t) without the ranges (ra, rb, start, end)."""
+    ranges = materialize(ranges.groupBy("ra", "rb").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "suffix-cuts")
+    joined = d.join(ranges, ["ra", "rb"], "left").select("doc_id", "t", "ranges")
+    kind = d.schema["doc_id"].dataType.simpleString()
+    return joined.mapInPandas(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: bytes, bytes removed, runs removed, and the digest of what is kept.
 
@@ -309,10 +324,35 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     are documents of their own, and equal rows repeat each other. Other columns,
     whatever their names, are ignored; an empty table gives an empty result.
     """
-    d = docs.select(F.col(key).alias("doc_id"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("t"))
-    d = d.select("doc_id", *row_key(F.col("doc_id"), F.col("t")), "t")
-    ranges = repeated_ranges(d.select("ra", "rb", "t")).groupBy("ra", "rb").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
-    ranges = materialize(ranges, "suffix-cuts")
-    joined = d.join(ranges, ["ra", "rb"], "left").select("doc_id", "t", "ranges")
-    kind = docs.schema[key].dataType.simpleString()
-    return joined.mapInPandas(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    d = keyed(docs, key, text)
+    return cut(d, repeated_ranges(d.select("ra", "rb", "t")))
+
+
+class Index:
+    """A logarithmic family of document tables in the shared folder, to which batches are added.
+
+    A level holds the texts of some batches and the places of their anchors. A new
+    batch is scanned against itself and then against each level: only documents of
+    the level that share an anchor with the batch are read again. Then the batch
+    becomes a level, and the last two levels merge while they are of like size, so
+    there are about as many levels as the logarithm of the batches.
+    """
+
+    def __init__(self) -> None:
+        self.levels: list[tuple[DataFrame, DataFrame, int]] = []  # texts, anchors, rows
+
+    def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+        """The same as :func:`remove_repeats` gives for these documents, judged together with all that were added before."""
+        d = materialize(keyed(docs, key, text), "suffix-batch")
+        texts = d.select("ra", "rb", "t")
+        places = materialize(texts.mapInPandas(_anchor_rows, "ra long, rb long, hash long, pos int").select("ra", "rb", "hash").distinct(), "suffix-places")
+        ranges = repeated_ranges(texts)
+        for old, at, _ in self.levels:
+            near = at.join(places.select("hash").distinct(), "hash", "left_semi").select("ra", "rb").distinct()
+            ranges = ranges.unionByName(repeated_ranges(texts.unionByName(old.join(near, ["ra", "rb"], "left_semi"))))
+        out = materialize(cut(d, ranges.join(texts.select("ra", "rb").distinct(), ["ra", "rb"], "left_semi")), "suffix-kept")
+        self.levels.append((texts, places, texts.count()))
+        while len(self.levels) > 1 and self.levels[-2][2] <= 2 * self.levels[-1][2]:
+            (t, p, n), (u, q, m) = self.levels.pop(-2), self.levels.pop()
+            self.levels.append((materialize(t.unionByName(u), "suffix-level"), materialize(p.unionByName(q), "suffix-places"), n + m))
+        return out

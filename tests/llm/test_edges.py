@@ -256,6 +256,26 @@ def test_family_of_levels(monkeypatch, batch):
     assert most[0] >= {3: 3, 8: 2, 10**6: 1}[batch]
 
 
+def test_batches_added_to_an_index(spark):
+    r = random.Random(7)
+    passages = ["".join(r.choice("abc def") for _ in range(320)) for _ in range(4)]
+    texts = []
+    for i in range(24):
+        own = "".join(r.choice("ghij klm") for _ in range(r.randint(0, 300)))
+        texts.append((i, own + "".join(p[r.choice([0, 40]) :][: r.choice([150, 230, 320])] for p in passages if r.random() < 0.4) + own[:50]))
+    texts[20] = texts[3]
+    texts += [(30, None), (None, passages[0])]
+    schema = "doc_id long, text string"
+    index, levels = suffixes.Index(), []
+    for k in range(0, len(texts), 5):
+        got = index.add(spark.createDataFrame(texts[k : k + 5], schema)).collect()
+        every = suffixes.remove_repeats(spark.createDataFrame(texts[: k + 5], schema)).collect()
+        want = Counter(map(tuple, every))
+        assert all(want[tuple(x)] for x in got) and len(got) == len(texts[k : k + 5])
+        levels.append(len(index.levels))
+    assert max(levels) == 2 and any(x.n_removed for x in got)
+
+
 def test_no_shared_folder_on_a_cluster(monkeypatch):
     class Context:
         master = "spark://host:7077"
