@@ -95,66 +95,83 @@ def stem(word: Column) -> Column:
     return F.regexp_replace(out, "(?<=...)e$", "")
 
 
+def asked(query: str) -> list[str]:
+    return re.findall("[a-z0-9]+", query.lower())
+
+
+def stems_asked(words: list[str]) -> Column:
+    return F.transform(F.array(*[F.lit(w) for w in words]).cast("array<string>"), stem)
+
+
+def stems_near(text: Column, words: list[str]) -> Column:
+    """The text's words as stems; those that don't begin like a word asked for are empty, since a stem keeps the first three letters."""
+    starts = sorted({w[:3] for w in words})
+    return F.transform(word_array(text), lambda w: F.when(F.substring(w, 1, 3).isin(*starts), stem(w)).otherwise(""))
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def match_stems(text: Column, query: str) -> Column:
     """MATCH AGAINST: whether every stemmed word of the query is a stemmed word of the text."""
-    asked = F.transform(F.array(*[F.lit(w) for w in re.findall("[a-z0-9]+", query.lower())]).cast("array<string>"), stem)
-    found = F.transform(F.array_distinct(word_array(text)), stem)
-    return F.size(F.array_except(asked, found)) == 0
+    words = asked(query)
+    return F.size(F.array_except(stems_asked(words), stems_near(text, words))) == 0
 
 
 def ts_query(text: Column, query: str) -> Column:
     """Whether a text answers a query of words with ``&``, ``|``, ``!``, ``<->`` (next word) and parentheses, by stems."""
     tokens = re.findall(r"[a-z0-9]+|<->|[&|!()]", query.lower())
-    stems = F.transform(word_array(text), stem)
     at = 0
 
-    def word(w: str) -> Column:
-        return F.array_contains(stems, stem(F.lit(w)))
-
-    def phrase(ws: list[str]) -> Column:
-        run = F.transform(F.array(*[F.lit(w) for w in ws]), stem)
-        return F.exists(F.filter(F.sequence(F.lit(1), F.greatest(F.size(stems), F.lit(1))), lambda i: i + len(ws) - 1 <= F.size(stems)), lambda i: F.slice(stems, i, F.lit(len(ws))) == run)
-
-    def unit() -> Column:
-        nonlocal at
-        t = tokens[at]
-        at += 1
-        if t == "!":
-            return ~unit()
-        if t == "(":
-            inner = either()
-            at += 1
-            return inner
-        ws = [t]
-        while at + 1 < len(tokens) and tokens[at] == "<->":
-            ws.append(tokens[at + 1])
-            at += 2
-        return phrase(ws) if len(ws) > 1 else word(t)
-
-    def both() -> Column:
-        nonlocal at
-        out = unit()
-        while at < len(tokens) and tokens[at] == "&":
-            at += 1
-            out = out & unit()
-        return out
+    def test(stems: Column) -> Column:
+        def phrase(ws: list[str]) -> Column:
+            run = stems_asked(ws)
+            return F.exists(F.filter(F.sequence(F.lit(1), F.greatest(F.size(stems), F.lit(1))), lambda i: i + len(ws) - 1 <= F.size(stems)), lambda i: F.slice(stems, i, F.lit(len(ws))) == run)
 
-    def either() -> Column:
-        nonlocal at
-        out = both()
-        while at < len(tokens) and tokens[at] == "|":
+        def unit() -> Column:
+            nonlocal at
+            t = tokens[at]
             at += 1
-            out = out | both()
-        return out
-
-    return F.coalesce(either(), F.lit(False))
+            if t == "!":
+                return ~unit()
+            if t == "(":
+                inner = either()
+                at += 1
+                return inner
+            ws = [t]
+            while at + 1 < len(tokens) and tokens[at] == "<->":
+                ws.append(tokens[at + 1])
+                at += 2
+            return phrase(ws) if len(ws) > 1 else F.array_contains(stems, stem(F.lit(t)))
+
+        def both() -> Column:
+            nonlocal at
+            out = unit()
+            while at < len(tokens) and tokens[at] == "&":
+                at += 1
+                out = out & unit()
+            return out
+
+        def either() -> Column:
+            nonlocal at
+            out = both()
+            while at < len(tokens) and tokens[at] == "|":
+                at += 1
+                out = out | both()
+            return out
+
+        return either()
+
+    return F.coalesce(once(stems_near(text, asked(query)), test), F.lit(False))
 
 
 def ts_rank(text: Column, query: str) -> Column:
     """Share of a text's words that are words of the query, by stems."""
-    asked = F.transform(F.array(*[F.lit(w) for w in re.findall("[a-z0-9]+", query.lower())]), stem)
-    found = F.transform(word_array(text), stem)
-    return F.coalesce(F.try_divide(F.size(F.filter(found, lambda w: F.array_contains(asked, w))).cast("double"), F.size(found)), F.lit(0.0))
+    words = asked(query)
+    share = lambda stems: F.try_divide(F.size(F.filter(stems, lambda w: F.array_contains(stems_asked(words), w))).cast("double"), F.size(stems))
+    return F.coalesce(once(stems_near(text, words), share), F.lit(0.0))
 
 
 def word_array(text: Column) -> Column:
