@@ -9,11 +9,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACES, let, words
+from quillon.llm.common import SPACES, let, materialize, words
 
 # Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5  # words in a window that may repeat
+SAMPLE_CHARS = 1 << 16  # longer texts are left out of the sample, so that its size is bounded
+WORK = 1 << 21  # characters over which a rule's time is taken, by repeating the sample
 
 
 @dataclass(frozen=True)
@@ -35,7 +37,7 @@ class Measured:
     @property
     def rank(self) -> float:
         """Share of rows rejected per second of work: the larger, the earlier the rule runs."""
-        return self.rejected / max(self.seconds, 1e-6)
+        return self.rejected / self.seconds
 
 
 def repeat_words(tokens: Column, window: int = WINDOW) -> Column:
@@ -123,16 +125,30 @@ def default_rules(m: Callable[[str], Column] = F.col) -> list[Rule]:
     ]
 
 
+def sampled(docs: DataFrame, rows: int, text: str) -> DataFrame:
+    """Up to ``rows`` texts of at most SAMPLE_CHARS characters, from as few partitions as hold them, stored once with ``t`` and the words ``w``."""
+    some = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).filter(F.length("t") <= SAMPLE_CHARS).limit(rows).collect()
+    d = docs.sparkSession.createDataFrame(some, "t string").coalesce(1)
+    return materialize(d.withColumn("w", words(F.col("t"))), "quality-sample")
+
+
 def measure(sample: DataFrame, rules: Sequence[Rule]) -> list[Measured]:
-    """Runs each rule alone over a bounded sample and takes its time and the share it rejects."""
+    """The time that each rule takes alone over a bounded sample, which is repeated so that starting a job doesn't count, and the share of rows it rejects."""
+    n, chars = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    again = max(1, min(4096, WORK // max(1, chars)))
+    repeated = sample.withColumn("time", F.explode(F.sequence(F.lit(1), F.lit(again))))
+
+    def timed(test: Column) -> tuple[float, int]:
+        began = time.perf_counter()
+        hit = repeated.agg(F.sum(test.cast("long"))).first()[0] or 0
+        return time.perf_counter() - began, hit
+
+    timed(F.size("w") < 0)  # the first job compiles code
+    base, _ = timed(F.size("w") < 0)
     out = []
-    base = time.perf_counter()
-    n = sample.count()
-    base = time.perf_counter() - base
     for r in rules:
-        began = time.perf_counter()
-        hit = sample.agg(F.sum(F.coalesce(r.rejects, F.lit(False)).cast("long"))).first()[0] or 0
-        out.append(Measured(r, max(0.0, time.perf_counter() - began - base), hit / max(n, 1)))
+        took, hit = timed(F.coalesce(r.rejects, F.lit(False)))
+        out.append(Measured(r, max(1e-3, took - base), hit / max(n * again, 1)))
     return out
 
 
@@ -157,34 +173,45 @@ def cascade(rules: Sequence[Rule]) -> Column:
 def apply_rules(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_rows: int = 400, text: str = "text") -> DataFrame:
     """Adds the counts, ``failed_rule`` and ``kept`` to every row.
 
-    ``sample_rows`` bounds the rows on which cost and selectivity are measured;
-    they only decide the order of the rules, never which rows are kept. A rule
-    reads the counts by name, and Spark computes only the counts it reads, so
-    the time taken on the sample holds them too.
+    Rules of one's own read the counts by name and come in the order given. The
+    default ones are ordered by rejections per cost on ``sample_rows`` rows, which
+    never decides what is kept, only which rule is named and what runs first.
     """
-    rules = list(default_rules() if rules is None else rules)
-    ordered = order(measure(with_metrics(docs.select(text).limit(sample_rows), text), rules)) if len(rules) > 1 else rules
+    ordered = list(ranked(docs, sample_rows, text, F.col)) if rules is None else list(rules)
     scored = with_metrics(docs, text).withColumn("failed_rule", cascade(ordered))
     return scored.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
 
 
+def ranked(docs: DataFrame, sample_rows: int, text: str, m: Callable[[str], Column]) -> list[Rule]:
+    """The default rules over counts ``m``, in the order that the sample gives."""
+    own = default_rules(lambda n: metric(n, F.col("t"), F.col("w")))
+    names = [r.name for r in order(measure(sampled(docs, sample_rows, text), own))]
+    rules = {r.name: r for r in default_rules(m)}
+    return [rules[n] for n in names]
+
+
 def keep(docs: DataFrame, sample_rows: int = 400, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that no default rule rejects, with their columns as they are.
+    """The rows of ``docs`` that no default rule rejects, with their columns as they are, whatever their names.
 
-    Here the counts stand inside the CASE, so those of a later rule are never
-    computed for a row that an earlier one rejects.
+    A text is split into words once. The counts stand inside the CASE, so those of
+    a later rule are never computed for a row that an earlier one rejects. Null and
+    empty texts are too short. Repeated rows are judged one by one; an empty table stays empty.
     """
-    d = with_words(docs, text)
-    rules = default_rules(lambda n: metric(n, F.col("__t"), F.col("__w")))
-    ordered = order(measure(with_words(docs.select(text).limit(sample_rows), text), rules))
-    return d.filter(cascade(ordered).isNull()).select(*docs.columns)
+    names = [r.name for r in ranked(docs, sample_rows, text, F.col)]
+
+    def verdict(w: Column) -> Column:
+        rules = {r.name: r for r in default_rules(lambda n: metric(n, F.coalesce(F.col(text), F.lit("")), w))}
+        return cascade([rules[n] for n in names])
+
+    return docs.filter(let(words(F.col(text)), verdict).isNull())
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """One row for each document: the counts, whether the base rules fail, whether it is kept.
 
     Null and empty texts have no words, so the base rules fail them. Repeated
-    rows are judged one by one. Columns beyond doc_id and text are ignored.
+    rows are judged one by one. Columns beyond doc_id and text are ignored; an
+    empty table gives an empty result.
     """
     out = apply_rules(docs.select("doc_id", "text"))
     return out.select("doc_id", *NAMES, "base_failed", "kept")
