@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACES, broadcast_if_small, materialize
+from quillon.llm.common import SPACES, broadcast_if_small, fresh, materialize, packed, release
 
 MIN_SITES = 10  # a line on so many sites is boilerplate
 LG_K = 10  # sketch of 2**LG_K buckets: a standard error of about 3 %
 MARGIN = 0.2  # estimates within this share of the threshold get an exact count
+MOST_PLACES = 4_000_000  # numbers and characters, some 32 MB, of rows and places that go to the texts by broadcast; more join by a shuffle
 
 
 def line_key(line: Column) -> Column:
@@ -19,13 +20,9 @@ def line_key(line: Column) -> Column:
 
 
 def exploded(docs: DataFrame) -> DataFrame:
-    """One row for each line that has a word: row_key, n (its place), site, key."""
-    lines = docs.select(
-        "__row",
-        F.coalesce(F.col("__site"), F.lit("")).alias("site"),
-        F.posexplode(F.split(F.coalesce("__text", F.lit("")), "\n", -1)).alias("n", "line"),
-    )
-    return lines.filter(F.length(F.translate("line", SPACES, "")) > 0).select("__row", "n", "site", line_key(F.col("line")).alias("key"))
+    """One row for each line with a word: key of the row, n (its place), site, key."""
+    lines = docs.select("id", F.coalesce("site", F.lit("")).alias("site"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n", "line"))
+    return lines.filter(F.length(F.translate("line", SPACES, "")) > 0).select("id", "n", "site", line_key(F.col("line")).alias("key"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, margin: float = MARGIN) -> DataFrame:
@@ -43,7 +40,7 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
     seen = lines.join(broadcast_if_small(often), "key", "left_semi")
     sketched = seen.groupBy("key").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"),
-        F.min(F.struct(F.col("__row"), F.col("n"))).alias("first"),
+        F.min(F.struct("id", "n")).alias("first"),
     )
     sketched = materialize(sketched.filter(F.col("sites") >= min_sites * (1 - margin)), "line-sketches")
     sure = sketched.filter(F.col("sites") > min_sites * (1 + margin)).select("key", "first")
@@ -61,11 +58,33 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
 
 
 def removed_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """For each row key with a boilerplate line, the sorted places of the lines to remove."""
-    lines = exploded(docs)
+    """For the key of each row with a boilerplate line, the sorted places of the lines to remove.
+
+    Texts are split once; the keys of their lines are stored. The places go to the
+    texts by broadcast where they are few by count, else by a shuffle.
+    """
+    lines = materialize(exploded(docs), "lines")
     found = broadcast_if_small(materialize(boilerplate(lines, min_sites), "line-boilerplate"))
-    gone = lines.join(found, "key").filter((F.col("__row") != F.col("first.__row")) | (F.col("n") != F.col("first.n")))
-    return gone.groupBy("__row").agg(F.array_sort(F.collect_set("n")).alias("__gone"))
+    gone = lines.join(found, "key").filter((F.col("id") != F.col("first.id")) | (F.col("n") != F.col("first.n")))
+    gone = materialize(gone.groupBy("id").agg(F.array_sort(F.collect_set("n")).alias("gone")), "line-places")
+    release(lines)
+    places = gone.agg(F.coalesce(F.sum(F.size("gone") + F.length("id.s") + 1), F.lit(0))).first()[0]
+    return F.broadcast(gone) if places <= MOST_PLACES else gone.hint("merge")
+
+
+def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", key: str = "doc_id") -> DataFrame:
+    """``row`` with the whole row, and clean_text, n_lines and n_removed; see :func:`dedup_lines`."""
+    keyed = docs.select(packed(docs).alias("row"), F.col(text).alias("text"), F.col(site).cast("string").alias("site"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("s"), F.xxhash64(text, site).alias("h"))
+    keyed = keyed.withColumn("id", F.struct(F.length("s").alias("len"), "s", "h")).drop("s", "h")
+    gone = removed_lines(keyed.select("id", "text", "site"), min_sites)
+    lines = F.split("text", "\n", -1)
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    return keyed.join(gone, "id", "left").select(
+        "row",
+        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("clean_text"),
+        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+    )
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", key: str = "doc_id") -> DataFrame:
@@ -78,21 +97,9 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text",
     site counts as one site; rows that share a key, null included, share the
     places removed only if their texts are equal, since the row key also holds
     a hash of the text. Of fully equal rows, each keeps what the first keeps.
+    Columns of the input stay as they are; where one has the name of a new
+    column, the new one gets an underscore. An empty table stays empty.
     """
-    keyed = docs.withColumn("__text", F.col(text)).withColumn("__site", F.col(site).cast("string"))
-    keyed = keyed.withColumn("__row", F.struct(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("s"), F.xxhash64(text, site).alias("h")))
-    keyed = keyed.withColumn("__row", F.struct(F.length("__row.s").alias("len"), F.col("__row.s").alias("s"), F.col("__row.h").alias("h")))
-    gone = removed_lines(keyed.select("__row", "__text", "__site"), min_sites)
-    return (
-        keyed.join(gone, "__row", "left")
-        .withColumn("__lines", F.split("__text", "\n", -1))
-        .withColumn(
-            "clean_text",
-            F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(
-                F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-            ),
-        )
-        .withColumn("n_lines", F.coalesce(F.when(F.col("__text").isNull(), 0).otherwise(F.size("__lines")), F.lit(0)).cast("long"))
-        .withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .drop("__row", "__text", "__site", "__lines", "__gone")
-    )
+    names = ("clean_text", "n_lines", "n_removed")
+    new = zip(names, fresh(docs.columns, *names))
+    return cleaned(docs, min_sites, text, site, key).select("row.*", *[F.col(a).alias(b) for a, b in new])
