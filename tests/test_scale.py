@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.operators import analytics as A
+from quillon.operators.joins import bloom_join
 
 
 def plan(df) -> str:
@@ -22,3 +23,10 @@ def test_bloom_filter_is_not_carried_by_rows(spark):
     bits = {r.word * 64 + i for r in b.collect() for i in range(64) if r.mask >> i & 1}
     at = spark.range(-3000, 3000).select("id", F.array(*[F.pmod(F.xxhash64("id", F.lit(i)), F.lit(b.first().bits)) for i in range(b.first().hashes)]).alias("p"))
     assert {r.id for r in found.collect()} == {r.id for r in at.collect() if bits.issuperset(r.p)}
+
+
+def test_bloom_join_has_one_join(spark):
+    left, right = spark.range(500).withColumn("v", F.col("id") * 2), spark.range(100, 120)
+    joined = bloom_join(left, right, "id")
+    assert sorted(r.v for r in joined.collect()) == [2 * i for i in range(100, 120)]
+    assert joined._jdf.queryExecution().executedPlan().toString().count("NestedLoopJoin") == 0
