@@ -120,15 +120,27 @@ def match_stems(text: Column, query: str) -> Column:
     return F.size(F.array_except(stems_asked(words), stems_near(text, words))) == 0
 
 
-def ts_query(text: Column, query: str) -> Column:
-    """Whether a text answers a query of words with ``&``, ``|``, ``!``, ``<->`` (next word) and parentheses, by stems."""
+def words_in_row(text: Column, words: list[str]) -> Column:
+    """Whether the words stand next to each other in a text, as whole words (runs of ASCII letters and digits); one pass over the text."""
+    if not all(re.fullmatch("[a-z0-9]+", w) for w in words):
+        return text.isNotNull() & F.lit(False)
+    lower = F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))  # as DuckDB has it; Spark makes two characters of a dotted capital I
+    return lower.rlike(f"(?<![a-z0-9]){'[^a-z0-9]++'.join(words)}(?![a-z0-9])") if words else text.isNotNull()
+
+
+def ts_query(text: Column, query: str, stems: bool = True) -> Column:
+    """Whether a text answers a query of words with ``&``, ``|``, ``!``, ``<->`` (next word) and parentheses; by stems, or by the words as they are."""
     tokens = re.findall(r"[a-z0-9]+|<->|[&|!()]", query.lower())
     at = 0
 
-    def test(stems: Column) -> Column:
+    def test(found: Column) -> Column:
         def phrase(ws: list[str]) -> Column:
+            if not stems:
+                return words_in_row(found, ws)
+            if len(ws) == 1:
+                return F.array_contains(found, stem(F.lit(ws[0])))
             run = stems_asked(ws)
-            return F.exists(F.filter(F.sequence(F.lit(1), F.greatest(F.size(stems), F.lit(1))), lambda i: i + len(ws) - 1 <= F.size(stems)), lambda i: F.slice(stems, i, F.lit(len(ws))) == run)
+            return F.exists(F.filter(F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1))), lambda i: i + len(ws) - 1 <= F.size(found)), lambda i: F.slice(found, i, F.lit(len(ws))) == run)
 
         def unit() -> Column:
             nonlocal at
@@ -144,7 +156,7 @@ def ts_query(text: Column, query: str) -> Column:
             while at + 1 < len(tokens) and tokens[at] == "<->":
                 ws.append(tokens[at + 1])
                 at += 2
-            return phrase(ws) if len(ws) > 1 else F.array_contains(stems, stem(F.lit(t)))
+            return phrase(ws)
 
         def both() -> Column:
             nonlocal at
@@ -164,7 +176,7 @@ def ts_query(text: Column, query: str) -> Column:
 
         return either()
 
-    return F.coalesce(once(stems_near(text, asked(query)), test), F.lit(False))
+    return F.coalesce(once(stems_near(text, asked(query)), test) if stems else test(text), F.lit(False))
 
 
 def ts_rank(text: Column, query: str) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from quillon.operators import analytics as A
 from quillon.operators.joins import bloom_join
+from quillon.plans import registry
+
+registry.load()
 
 
 def plan(df) -> str:
@@ -30,3 +33,29 @@ def test_bloom_join_has_one_join(spark):
     joined = bloom_join(left, right, "id")
     assert sorted(r.v for r in joined.collect()) == [2 * i for i in range(100, 120)]
     assert joined._jdf.queryExecution().executedPlan().toString().count("NestedLoopJoin") == 0
+
+
+def held_against_sql(spark, name, tmp_path, **tables):
+    """A query's rows against its SQL, over tables written here."""
+    import duckdb
+
+    c = duckdb.connect()
+    for t, d in tables.items():
+        d.coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    r = c.execute(registry.ORACLE[name])
+    names = [x[0] for x in r.description]
+    got = registry.QUERIES[name](spark, str(tmp_path)).select(*names).collect()
+    key = lambda row: [(x is None, 0 if x is None else x) for x in row]
+    assert sorted((tuple(x) for x in got), key=key) == sorted(r.fetchall(), key=key)
+    return got
+
+
+TEXTS = ["MIT License", "the mit\n--license.", "mit licenses", "mits license", "MIT xlicense", "submit license", "license mit", "mit", "mit and license", "Apache", "apache versions", "Apache, Version 2", "apaches", "apache versioned", "mit license apache version", "", None, "M\u0130T License"]
+
+
+def test_phrases_in_one_pass(spark, tmp_path):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    assert {r.doc_id for r in held_against_sql(spark, "text_phrase", tmp_path, documents=docs)} == {0, 1, 14, 17}
+    assert "sequence" not in plan(A.phrase_search(docs, ["mit", "license"]))
+    assert A.phrase_search(docs, []).count() == 17 and A.phrase_search(docs, ["mit license"]).count() == 0
