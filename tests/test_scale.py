@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import predicates as P
 from quillon.operators import analytics as A
 from quillon.operators.joins import bloom_join
+from quillon.operators.windows import exclude_peers
 from quillon.plans import registry
 
 registry.load()
@@ -67,3 +68,19 @@ def test_text_query_by_words_as_they_are(spark, tmp_path):
     assert {r.doc_id for r in held_against_sql(spark, "pred_ts_query", tmp_path, documents=docs)} == {0, 1, 9, 10, 13, 14, 17}
     hit = lambda q, stems: docs.filter(P.ts_query(F.col("text"), q, stems)).count()
     assert (hit("version", True), hit("version", False), hit("!mit", False), hit("mit <-> license", True)) == (4, 2, 8, 5)
+
+
+def test_range_frames_without_peers(spark, tmp_path):
+    part = spark.createDataFrame([(i, f"b{i % 3}" if i % 11 else None, (i * 7) % 13 if i % 10 else None, float(i * 37 % 101) if i % 9 else None) for i in range(300)], "p_partkey long, p_brand string, p_size int, p_retailprice double")
+    held_against_sql(spark, "win_exclude_group", tmp_path / "g", part=part)
+    for kind in ("int", "double"):
+        for start, end, keep in ((-3, 3, True), (-3, 3, False), (-5, -2, True), (1, 4, False), (0, 0, True)):
+            d = part.withColumn("p_size", F.col("p_size").cast(kind))
+            got = {r.p_partkey: (r.x_count, r.x_min) for r in exclude_peers(d, ["p_brand"], "p_size", "p_partkey", start, end, "p_retailprice", "x", keep, "range").collect()}
+            rows = d.collect()
+            for r in rows:
+                near = (lambda s: s is None) if r.p_size is None else (lambda s: s is not None and start <= s - r.p_size <= end)  # noqa: B023
+                own = keep and (r.p_size is None or start <= 0 <= end)
+                v = [x.p_retailprice for x in rows if x.p_brand == r.p_brand and near(x.p_size) and (x.p_size != r.p_size or own and x.p_partkey == r.p_partkey)]
+                assert got[r.p_partkey] == (len(v), min((x for x in v if x is not None), default=None)), (kind, start, end, keep, r)
+    assert "collect_list" not in plan(exclude_peers(part, ["p_brand"], "p_size", "p_partkey", -3, 3, "p_retailprice", "x", True, "range"))
