@@ -72,6 +72,7 @@ def test_text_query_by_words_as_they_are(spark, tmp_path):
 
 def test_range_frames_without_peers(spark, tmp_path):
     part = spark.createDataFrame([(i, f"b{i % 3}" if i % 11 else None, (i * 7) % 13 if i % 10 else None, float(i * 37 % 101) if i % 9 else None) for i in range(300)], "p_partkey long, p_brand string, p_size int, p_retailprice double")
+    held_against_sql(spark, "win_exclude_ties", tmp_path / "t", part=part)
     held_against_sql(spark, "win_exclude_group", tmp_path / "g", part=part)
     for kind in ("int", "double"):
         for start, end, keep in ((-3, 3, True), (-3, 3, False), (-5, -2, True), (1, 4, False), (0, 0, True)):
