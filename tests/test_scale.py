@@ -85,3 +85,13 @@ def test_range_frames_without_peers(spark, tmp_path):
                 v = [x.p_retailprice for x in rows if x.p_brand == r.p_brand and near(x.p_size) and (x.p_size != r.p_size or own and x.p_partkey == r.p_partkey)]
                 assert got[r.p_partkey] == (len(v), min((x for x in v if x is not None), default=None)), (kind, start, end, keep, r)
     assert "collect_list" not in plan(exclude_peers(part, ["p_brand"], "p_size", "p_partkey", -3, 3, "p_retailprice", "x", True, "range"))
+
+
+def test_estimates_keep_no_sketch_for_each_key(spark, tmp_path):
+    o = spark.createDataFrame([(i, i % 700 if i % 5 else None) for i in range(4000)], "o_orderkey long, o_custkey long")
+    lines = spark.createDataFrame([(i % 50, i % 7) for i in range(4000)], "l_partkey long, l_linenumber int")
+    for name, t, sketch in (("sketch_approx_distinct", {"orders": o}, "approx_count_distinct"), ("sketch_cardinality_multi", {"lineitem": lines}, "hll_sketch_agg")):
+        held_against_sql(spark, name, tmp_path / name, **t)
+        held_against_sql(spark, name, tmp_path / f"{name}-empty", **{k: d.limit(0) for k, d in t.items()})
+        executed = registry.QUERIES[name](spark, str(tmp_path / name))._jdf.queryExecution().sparkPlan().toString()
+        assert not [line for line in executed.splitlines() if sketch in line and "keys=[]" not in line and "Aggregate(" in line]
