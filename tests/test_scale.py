@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import predicates as P
 from quillon.operators import analytics as A
-from quillon.operators.joins import bloom_join
+from quillon.operators.joins import bloom_join, spread_join
 from quillon.operators.windows import exclude_peers
 from quillon.plans import registry
 
@@ -95,3 +95,17 @@ def test_estimates_keep_no_sketch_for_each_key(spark, tmp_path):
         held_against_sql(spark, name, tmp_path / f"{name}-empty", **{k: d.limit(0) for k, d in t.items()})
         executed = registry.QUERIES[name](spark, str(tmp_path / name))._jdf.queryExecution().sparkPlan().toString()
         assert not [line for line in executed.splitlines() if sketch in line and "keys=[]" not in line and "Aggregate(" in line]
+
+
+def test_spread_joins(spark):
+    left = spark.createDataFrame([(i % 5 if i % 6 else None, i) for i in range(120)] + [(77, -1)], "k int, a long")
+    right = spark.createDataFrame([(i % 4 + 2 if i % 7 else None, i) for i in range(90)] + [(88, -2), (88, -2)], "k int, b long")
+    bag = lambda d: sorted(tuple(r) for r in d.select(F.coalesce("a", F.lit(-9)), F.coalesce("b", F.lit(-9))).collect())
+    for pairs in (10, 10**9):
+        assert bag(spread_join(left, right, "k", how="full", pairs=pairs)) == bag(left.join(right, "k", "full"))
+        assert bag(spread_join(left, right, "k", F.col("a") < F.col("b"), pairs=pairs)) == bag(left.alias("x").join(right.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("a") < F.col("b")), "left"))
+    assert bag(spread_join(left.limit(0), right, "k", how="full")) == bag(right.withColumn("a", F.lit(None)))
+    assert bag(spread_join(left, right.limit(0), "k", how="full")) == bag(left.withColumn("b", F.lit(None)))
+    one = spark.range(400).select(F.lit(1).alias("k"), F.col("id").alias("a"))
+    dealt = spread_join(one, one.select("k", F.col("a").alias("b")), "k", pairs=10_000)
+    assert dealt.count() == 160_000 and dealt.select(F.spark_partition_id()).distinct().count() > 4
