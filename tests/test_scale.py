@@ -109,3 +109,9 @@ def test_spread_joins(spark):
     one = spark.range(400).select(F.lit(1).alias("k"), F.col("id").alias("a"))
     dealt = spread_join(one, one.select("k", F.col("a").alias("b")), "k", pairs=10_000)
     assert dealt.count() == 160_000 and dealt.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_null_keys_against_sql(spark, tmp_path):
+    part = spark.createDataFrame([(i, i % 9 if i % 8 else None) for i in range(200)], "p_partkey long, p_size int")
+    assert len(held_against_sql(spark, "join_null_keys", tmp_path, part=part)) > 200
+    assert "repartition" in plan(registry.QUERIES["join_null_keys"](spark, str(tmp_path))).lower()
