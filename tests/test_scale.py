@@ -115,3 +115,13 @@ def test_null_keys_against_sql(spark, tmp_path):
     part = spark.createDataFrame([(i, i % 9 if i % 8 else None) for i in range(200)], "p_partkey long, p_size int")
     assert len(held_against_sql(spark, "join_null_keys", tmp_path, part=part)) > 200
     assert "repartition" in plan(registry.QUERIES["join_null_keys"](spark, str(tmp_path))).lower()
+
+
+def test_minhash_pairs_move_a_set_once_for_each_bucket(spark):
+    of = {i: {f"w{k}" for k in range(40)} | {f"x{i % 12}"} for i in range(36)} | {100 + i: {f"y{i // 2}-{k}" for k in range(9)} for i in range(6)}
+    sets = spark.createDataFrame([(i, sorted(w)) for i, w in of.items()], "id long, w array<string>").withColumn("s", A.minhash(F.col("w")))
+    pairs = A.minhash_pairs(sets)
+    got = [(r.id_a, r.id_b, r.exact) for r in pairs.collect()]
+    want = [(a, b, len(of[a] & of[b]) / len(of[a] | of[b])) for a in of for b in of if a < b and of[a] & of[b]]
+    assert sorted(got) == sorted(want)
+    assert "bit_xor" in plan(pairs)
